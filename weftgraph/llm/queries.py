@@ -6,12 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe
+from weftgraph.llm import bpe, chat, fingerprint, html, quality
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the formatted texts."""
+    return chat.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprint.edited_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents."""
     import public_tokenizers
@@ -20,7 +40,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_chat_format": op2_chat_format,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_piecewise_hash": op9_piecewise_hash,
+    "op10_main_text": op10_main_text,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE,
+}
