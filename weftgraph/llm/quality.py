@@ -31,7 +31,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREAD = 3
 GROUP_LEAST = 200
 #: Per 1000 words (or lines, or characters): the fence is never below this.
-LEAST = {"symbols": 100, "dup_lines": 300, "repeats": 250, "capitals": 300, "marks": 150, "word_chars": 10_000}
+LEAST = {"symbols": 100, "dup_lines": 500, "repeats": 400, "capitals": 300, "marks": 150, "word_chars": 10_000}
 #: The fence of short words is never above this many characters per 1000 words.
 MOST_SHORT = 3_000
 
