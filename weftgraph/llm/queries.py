@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, chat, fingerprint, html, quality
+from weftgraph.llm import bpe, chat, fingerprint, html, jaccard, quality
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: four words, 85 percent."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
+
+
 def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return fingerprint.edited_digests(table(spark, sf_dir, "documents"))
@@ -42,6 +47,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_main_text": op10_main_text,
     "op8_byte_bpe": op8_byte_bpe,
