@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, chat, fingerprint, html, jaccard, quality
+from weftgraph.llm import bpe, chat, fingerprint, html, jaccard, lines, quality
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without its recurring lines, n_lines, n_dropped of every document."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: four words, 85 percent."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
@@ -47,6 +52,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_main_text": op10_main_text,
