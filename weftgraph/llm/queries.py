@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, chat, fingerprint, html, jaccard, lines, quality
+from weftgraph.llm import bpe, chat, fingerprint, html, jaccard, lines, mixing, quality
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: four words, 85 percent."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op6_source_mix": op6_source_mix,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_main_text": op10_main_text,
