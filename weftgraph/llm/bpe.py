@@ -287,7 +287,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text.
 
-    Returns id, ``ids`` (binary: little-endian unsigned 32-bit integers), ``decoded`` (binary).
+    Returns the id column, ``ids`` (binary: little-endian unsigned 32-bit integers), ``decoded`` (binary).
     """
     field = docs.schema[id_col]
 
@@ -304,8 +304,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, by ``encode_decode``'s codec.
+def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every document, by ``encode_decode``'s codec.
 
     The digests are taken where the ids are made, so that no ids go through the JVM twice.
     """
@@ -323,8 +323,11 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                         pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                        *([pa.array(ids, pa.binary())] if with_ids else []),
                     ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=names,
                 )
 
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
