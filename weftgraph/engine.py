@@ -161,9 +161,9 @@ def explain(graph: PropertyGraph, pattern: Pattern, **options) -> str:
 
 def catalog_info(graph: PropertyGraph, pattern: Pattern, mode: str = "iso") -> DataFrame:
     """A row for each pattern edge: kind, rows after the scan and after reduction, largest degrees of both ends."""
-    first = scan(graph, pattern)
+    first = {e: written(r, "relation") for e, r in scan(graph, pattern).items()}
     base = nlf_filter(graph, pattern, first) if mode == "iso" else first
-    reduced = semi_join_program(pattern, base)
+    reduced = {e: written(r, "relation") for e, r in semi_join_program(pattern, base).items()}
     out = None
     for a, b in pattern.edges:
         r, f = reduced[a, b], first[a, b]
