@@ -18,7 +18,7 @@ from weftgraph.operators import relations as ops
 from weftgraph.pattern import Pattern
 from weftgraph.plans import extend as steps
 from weftgraph.plans.nucleus import density_tree, describe
-from weftgraph.plans.orders import nd_orders, spectrum, test_order, utility
+from weftgraph.plans.orders import nd_orders, spectrum, constrained_order, utility
 from weftgraph.plans.reduce import candidates, nlf_filter, scan, semi_join_program
 from weftgraph.plans.tree import Plan
 from weftgraph.sources.tables import CUSTOMER, NATION, ORDER, PART, SUPPLIER, star_graph
@@ -334,7 +334,7 @@ query("sample_edges_hash", "SELECT src, dst FROM e WHERE src < dst AND (((src %
 # -- plans: no SQL ---------------------------------------------------------------------------------
 @query("plan_order_nd")
 def _(g: PropertyGraph, spark):
-    rows = [(name, kind, " ".join(map(str, o)), utility(p, o)) for name, p in PATTERNS.items() for kind, o in [*(("nd", o) for o in nd_orders(p)), ("test", test_order(p))]]
+    rows = [(name, kind, " ".join(map(str, o)), utility(p, o)) for name, p in PATTERNS.items() for kind, o in [*(("nd", o) for o in nd_orders(p)), ("test", constrained_order(p))]]
     return spark.createDataFrame(rows, "pattern string, kind string, ordering string, utility int")
 
 
