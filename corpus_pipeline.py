@@ -28,11 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.drop_recurring(docs)
-    left = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD) | F.col("text").isNull()
-    kept = cleaned.where(left)
-    names = [F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*names)
+    cleaned = lines.drop_recurring(docs, "__lines", "__dropped")
+    kept = cleaned.where((F.col("__dropped") == 0) | F.col("text").rlike(WORD) | F.col("text").isNull())
+    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return kept.select(*[n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,12 +42,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     exploded = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
     )
-    line = F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")).otherwise(F.col("line"))
-    parsed = exploded.select("doc", "row", "pos", F.when(F.col("raw").rlike(r"^[\x20\x09-\x0D]|[\x20\x09-\x0D]$"), line).otherwise(F.col("raw")).alias("line")).where("line <> ''")
-    tokens = parsed.withColumn("tokens", F.split(masked, _WHITE)).withColumn("n", F.size("tokens"))
-    fields = F.size(F.filter(F.when(F.col("line").rlike("[0-9]"), F.col("tokens")), lambda t: t == "<*>"))
-    template = F.when(F.coalesce(fields, F.lit(-1)) * 2 > F.col("n"), F.array("line")).otherwise(F.col("tokens"))
+    # single spaces between tokens and none around them, as nearly all lines have already
+    plain = F.when(F.col("raw").rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace("raw", _WHITE, " "))).otherwise(F.col("raw"))
+    numbers = F.col("line").rlike("[0-9]")
+    parsed = exploded.select("doc", "row", "pos", plain.alias("line")).where("line <> ''").withColumn("numbers", numbers)
+    masked = F.when(F.col("numbers"), F.regexp_replace("line", "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("line"))
+    tokens = parsed.withColumn("masked", masked).withColumn("tokens", F.split("masked", " ")).withColumn("n", F.size("tokens"))
+    fields = F.size(F.filter(F.when(F.col("numbers"), F.col("tokens")), lambda t: t == "<*>"))
+    template = F.when(F.coalesce(fields, F.lit(-1)) * 2 > F.col("n"), F.concat(F.lit("\n"), "line")).otherwise(F.col("masked"))
     # run i of the line: tokens from floor(i n / SEGMENTS) up to floor((i + 1) n / SEGMENTS)
     bound: list[Column] = [F.floor(F.col("n") * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
     runs = F.array(*[F.hash(F.slice("tokens", bound[i] + 1, bound[i + 1] - bound[i])) for i in range(SEGMENTS)])
@@ -69,50 +71,51 @@ def _several(doc: str = "doc") -> Column:
 
 
 def _general(lines: DataFrame) -> DataFrame:
-    """doc, row, pos, g: the general template of lines that have one (with the leaf in it)."""
-    leaves = lines.where("leaf is not null").groupBy("leaf").agg(_several().alias("some")).where("some").select("leaf")
-    runs = lines.where("leaf is not null").join(leaves, "leaf").select("leaf", "doc", "row", "pos", F.posexplode("runs").alias("i", "run"))
-    constant = runs.groupBy("leaf", "i", "run").agg(_several().alias("some")).where("some").select("leaf", "i", "run")
-    kept = runs.join(constant, ["leaf", "i", "run"]).select("leaf", "doc", "row", "pos", F.xxhash64("leaf", "i", "run").alias("part"))
+    """doc, row, pos, n, g: the general template (with the leaf in it) of lines that have one."""
+    leaves = Cut(lines.where("leaf is not null").groupBy("leaf").agg(_several().alias("some")).where("some").select("leaf"), "leaves")
+    runs = lines.where("leaf is not null").join(leaves.df, "leaf").select("leaf", "doc", "row", "pos", "n", F.posexplode("runs").alias("i", "run"))
+    constant = Cut(runs.groupBy("leaf", "i", "run").agg(_several().alias("some")).where("some").select("leaf", "i", "run"), "runs")
+    kept = runs.join(constant.df, ["leaf", "i", "run"]).select("leaf", "doc", "row", "pos", "n", F.xxhash64("leaf", "i", "run").alias("part"))
     # sums of hashes: the same for the same set of runs, in any order
-    found = kept.groupBy("doc", "row", "pos").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("part").cast("decimal(38,0)")).alias("sum"))
-    return found.where(F.col("k") >= CONSTANT).select("doc", "row", "pos", F.xxhash64("sum").alias("g"))
+    found = kept.groupBy("doc", "row", "pos", "n").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("part").cast("decimal(38,0)")).alias("sum"))
+    return found.where(F.col("k") >= CONSTANT).select("doc", "row", "pos", "n", F.xxhash64("sum").alias("g"))
 
 
-def _recurring(lines: DataFrame, unit: Column) -> DataFrame:
-    """doc, row, pos, n of the lines whose exact or general template recurs, by documents as ``unit`` numbers them."""
-    counted = lines.withColumn("unit", unit)
-    long = counted.where(F.col("n") >= SHORT)
-    exact = long.groupBy("exact_1", "exact_2").agg(_several("unit").alias("some")).where("some").select("exact_1", "exact_2")
+def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
+    """doc, row, pos, n of the lines whose exact or general template recurs, by documents as ``unit`` numbers them.
+
+    Keys that recur are written before they are joined, so that a join can split a very frequent one.
+    """
+    exact, general = exact.withColumn("unit", unit), general.withColumn("unit", unit)
+    long, short = exact.where(F.col("n") >= SHORT), exact.where(F.col("n") < SHORT)
+    key = ["exact_1", "exact_2"]
+    several = long.groupBy(*key).agg(_several("unit").alias("some")).where("some").select(*key)
     # few templates are short: documents of each are told apart before they are counted
-    short = counted.where(F.col("n") < SHORT)
-    often = short.select("exact_1", "exact_2", "unit").distinct().groupBy("exact_1", "exact_2").count().where(F.col("count") >= SHORT_DOCS).select("exact_1", "exact_2")
-    general = counted.where("g is not null").groupBy("g").agg(_several("unit").alias("some")).where("some").select("g")
-    keys = ["doc", "row", "pos", "n"]
-    a = long.join(exact, ["exact_1", "exact_2"], "left_semi").select(*keys)
-    b = short.join(often, ["exact_1", "exact_2"], "left_semi").select(*keys)
-    c = counted.where("g is not null").join(general, "g", "left_semi").select(*keys)
-    return a.union(b).union(c).distinct()
+    often = short.select(*key, "unit").distinct().groupBy(*key).count().where(F.col("count") >= SHORT_DOCS).select(*key)
+    exact_keys = Cut(several.union(often), "keys").df
+    general_keys = Cut(general.groupBy("g").agg(_several("unit").alias("some")).where("some").select("g"), "keys").df
+    line = ["doc", "row", "pos", "n"]
+    return exact.join(exact_keys, key, "left_semi").select(*line).union(general.join(general_keys, "g", "left_semi").select(*line)).distinct()
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc, row, drop: the numbers (from 0) of the lines that each text loses."""
     lines = Cut(_lines(docs), "lines")
-    general = _general(lines.df)
-    keyed = Cut(lines.df.drop("leaf", "runs").join(general, ["doc", "row", "pos"], "left"), "templates")
-    lines.drop()
-    first = _recurring(keyed.df, F.col("doc"))
-    share = first.groupBy("doc").agg(F.sum("n").alias("again"))
-    total = keyed.df.groupBy("doc").agg(F.sum("n").alias("all"))
-    copies = total.join(share, "doc").where(F.col("again") >= COPY * F.col("all")).select("doc", F.lit(_COPIES).cast("long").alias("copy"))
-    marked = Cut(keyed.df.join(copies, "doc", "left"), "templates")
-    keyed.drop()
-    lost = _recurring(marked.df, F.coalesce("copy", "doc"))
+    key = ["exact_1", "exact_2"]
+    # lines that occur once can't recur; only the others go on
+    again = Cut(lines.df.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key), "keys")
+    exact = Cut(lines.df.select("doc", "row", "pos", "n", *key).join(again.df, key, "left_semi"), "exact")
+    general = Cut(_general(lines.df), "general")
+    total = Cut(lines.df.groupBy("doc").agg(F.sum("n").alias("all")), "totals")
+    lines.drop(), again.drop()
+    share = _recurring(exact.df, general.df, F.col("doc")).groupBy("doc").agg(F.sum("n").alias("again"))
+    copies = Cut(total.df.join(share, "doc").where(F.col("again") >= COPY * F.col("all")).select("doc", F.lit(_COPIES).cast("long").alias("copy")), "copies")
+    lost = _recurring(exact.df.join(copies.df, "doc", "left"), general.df.join(copies.df, "doc", "left"), F.coalesce("copy", "doc"))
     return lost.groupBy("doc", "row").agg(F.collect_list("pos").alias("drop"))
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` less its recurring lines, n_lines and n_dropped; other columns as they were."""
+def drop_recurring(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """The documents with ``text`` less its recurring lines, and two counts under the given names; other columns as they were."""
     lost = Cut(recurring_lines(docs), "lost").df.withColumnsRenamed({"doc": "__doc", "row": "__row", "drop": "__drop"})
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "__row": F.xxhash64("text")})
     lines = F.split("text", "\n")
@@ -121,4 +124,4 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     out = keyed.join(lost, ["__doc", "__row"], "left").withColumns(
         {"__text": text, "__n": F.when(F.col("text").isNotNull(), F.size(lines)), "__k": F.when(F.col("text").isNotNull(), F.coalesce(F.size("__drop"), F.lit(0)))}
     )
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias("n_lines"), F.col("__k").alias("n_dropped"))
+    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias(n_lines), F.col("__k").alias(n_dropped))
