@@ -13,7 +13,8 @@ one document when recurrence is counted. So copies stay whole, unless a template
 another document.
 
 Lines of fewer than ``SHORT`` tokens recur by chance; they are dropped from ``SHORT_DOCS`` documents
-on. A template of mostly variable fields counts by its raw text. Blank lines stay.
+on. A line of mostly variable fields
+counts by its raw text. Blank lines stay.
 
 Null texts stay null; empty texts stay empty. Rows that share a doc_id are one document for
 recurrence, but keep their own lines; rows without one are together one document. Repeated rows give
@@ -49,7 +50,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     masked = F.when(F.col("numbers"), F.regexp_replace("line", "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("line"))
     tokens = parsed.withColumn("masked", masked).withColumn("tokens", F.split("masked", " ")).withColumn("n", F.size("tokens"))
     fields = F.size(F.filter(F.when(F.col("numbers"), F.col("tokens")), lambda t: t == "<*>"))
-    template = F.when(F.coalesce(fields, F.lit(-1)) * 2 > F.col("n"), F.concat(F.lit("\n"), "line")).otherwise(F.col("masked"))
+    variable = F.coalesce(fields, F.lit(-1)) * 2 > F.col("n")  # such a line has no general template, and its raw text as the exact one
+    template = F.when(variable, F.concat(F.lit("\n"), "line")).otherwise(F.col("masked"))
+    general = (F.col("n") >= GENERAL_LEAST) & ~variable
     # run i of the line: tokens from floor(i n / SEGMENTS) up to floor((i + 1) n / SEGMENTS)
     bound: list[Column] = [F.floor(F.col("n") * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
     runs = F.array(*[F.hash(F.slice("tokens", bound[i] + 1, bound[i + 1] - bound[i])) for i in range(SEGMENTS)])
@@ -60,8 +63,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         "n",
         F.xxhash64(template).alias("exact_1"),
         F.xxhash64(F.lit(1), template).alias("exact_2"),
-        F.when(F.col("n") >= GENERAL_LEAST, F.xxhash64("n", F.slice("tokens", 1, LEADING))).alias("leaf"),
-        F.when(F.col("n") >= GENERAL_LEAST, runs).alias("runs"),
+        F.when(general, F.xxhash64("n", F.slice("tokens", 1, LEADING))).alias("leaf"),
+        F.when(general, runs).alias("runs"),
     )
 
 
