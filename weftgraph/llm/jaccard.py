@@ -16,8 +16,8 @@ are joined:
    inequality, two members of a region whose distances to it differ by more than ``t`` can't link, so
    a later pivot is compared only with the members inside its window.
 
-Every pair that shares an anchor is thus compared, excluded by its sizes or the triangle inequality,
-or known to be in one component; nothing else is dropped. Dense groups end after a round or two,
+Every pair that shares an anchor is thus compared, excluded by its sizes, the places of its first common
+anchor (what stands before it isn't shared), the triangle inequality or the parities of its sets (which differ in no more bits than the sets in shingles), or known to be in one component; nothing else is dropped. Dense groups end after a round or two,
 since all are linked through their pivots: the number of comparisons stays in proportion to the
 number of anchors, not to the square of a group.
 
@@ -39,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sketch
@@ -47,6 +47,8 @@ from weftgraph.llm.common import Cut
 
 #: Bound of the list of frequent shingles that all tasks get (8 bytes each), and of what a task tells of its own.
 FREQUENT, FREQUENT_OF_TASK, LEAST_FREQUENT = 1 << 19, 1 << 16, 8
+#: Pivots of a region in the first round, in which dense regions end, and in those after it.
+PIVOTS = (1, 64, 1024)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -157,9 +159,11 @@ def frequent(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2, anchors of every document.
+    """doc_id, n, f1, f2, anchors, parity of every document.
 
-    A task gives a class's anchors once: copies in the same task have null.
+    ``parity``: of n bits or more (a power of two), each the parity of the shingles that fall on it; two
+    sets differ in at least as many shingles as their parities in bits. A task gives a class's
+    anchors and parity once: copies in the same task have null.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(late)
@@ -168,7 +172,7 @@ def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
         last = shared.value
         seen: set[int] = set()
         for ids, texts in _texts(batches):
-            ns, f1s, f2s, anchors = [], [], [], []
+            ns, f1s, f2s, anchors, parities = [], [], [], [], []
             for t in texts:
                 s = shingles(t, rule)
                 n = len(s)
@@ -176,9 +180,11 @@ def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
                 f1 = (f >> 64) - (1 << 63)
                 ns.append(n), f1s.append(f1), f2s.append((f & (1 << 64) - 1) - (1 << 63))
                 if n == 0 or f1 in seen:
-                    anchors.append(None)
+                    anchors.append(None), parities.append(None)
                     continue
                 seen.add(f1)
+                bits = 64 << ((n - 1) // 64).bit_length()
+                parities.append(np.packbits(np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1 != 0, bitorder="little").view(np.int64))
                 k = n - (rule.percent * n + 99) // 100 + 1
                 if len(last):
                     at = np.searchsorted(last, s)
@@ -187,12 +193,12 @@ def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
                     s = np.concatenate([s[~is_late], s[is_late]])
                 anchors.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa_kind), pa.array(ns, pa.int64()), pa.array(f1s, pa.int64()), pa.array(f2s, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f1", "f2", "anchors"],
+                [pa.array(ids, pa_kind), pa.array(ns, pa.int64()), pa.array(f1s, pa.int64()), pa.array(f2s, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "f1", "f2", "anchors", "parity"],
             )
 
     pa_kind = pa.int32() if kind == "int" else pa.int64()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, anchors array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, anchors array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -221,8 +227,12 @@ def components(edges: DataFrame) -> Cut:
     and its result is written, so no neighbourhood is gathered anywhere.
     """
     e = Cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
     while True:
+        # stars: every u has one v, and no v is a u
+        ends = e.df.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("s")).select("s.*")
+        odd = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 OR (out > 0 AND least = 0)")
+        if odd.isEmpty():
+            return e
         both = e.df.union(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -231,19 +241,46 @@ def components(edges: DataFrame) -> Cut:
         new = Cut(small.select("e.*").where("u <> v").distinct(), "edges")
         e.drop()
         e = new
-        now = tuple(e.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return e
-        mark = now
 
 
 # -- the join --------------------------------------------------------------------------------------
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, p, common, together: the sizes of intersection and union of each pair's sets."""
-    a = sets.select(F.col("f1").alias("x"), F.col("s").alias("a"))
-    b = sets.select(F.col("f1").alias("p"), F.col("s").alias("b"))
-    found = pairs.join(a, "x").join(b, "p").select("x", "p", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), (F.size("a") + F.size("b")).cast("long").alias("both"))
-    return found.select("x", "p", "common", (F.col("both") - F.col("common")).alias("together"))
+#: Documents up to which their numbers may be broadcast (8 bytes each) to pick their texts.
+BROADCAST_IDS = 1 << 20
+
+
+def _halved(parity: Column) -> Column:
+    """The parity of half as many bits."""
+    half = (F.size(parity) / 2).cast("int")
+    return F.zip_with(F.slice(parity, 1, half), F.slice(parity, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose parities don't exclude a link: sets that link differ in at most (1 - s) / (1 + s) of their sizes' sum."""
+    a = classes.select(F.col("f1").alias("x"), F.col("n").alias("n_a"), F.col("parity").alias("a"))
+    b = classes.select(F.col("f1").alias("p"), F.col("n").alias("n_b"), F.col("parity").alias("b"))
+    both = pairs.join(a, "x").join(b, "p")
+    # sizes of pairs differ by less than a factor of two, so their parities' lengths by one step at most
+    fit = lambda own, other: F.when(F.size(own) > F.size(other), _halved(own)).otherwise(own)
+    fitted = both.withColumns({"a2": fit(F.col("a"), F.col("b")), "b2": fit(F.col("b"), F.col("a"))})
+    bits = F.aggregate(F.zip_with("a2", "b2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    return fitted.where(bits * (100 + rule.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - rule.percent)).select("x", "p")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> Cut:
+    """x, p, common, together: the sizes of intersection and union of each pair's sets.
+
+    Sets are made anew of the texts of the pairs' documents, one for each class.
+    """
+    ids = pairs.select(F.explode(F.array("x", "p")).alias("f1")).distinct().join(classes.select("f1", "rep"), "f1").select(F.col("rep").alias("doc_id"))
+    few = pairs.count() * 2 <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = Cut(shingle_sets(texts, rule), "sets")
+    a = sets.df.select(F.col("f1").alias("x"), F.col("s").alias("a"))
+    b = sets.df.select(F.col("f1").alias("p"), F.col("s").alias("b"))
+    sizes = pairs.join(a, "x").join(b, "p").select("x", "p", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), (F.size("a") + F.size("b")).cast("long").alias("both"))
+    out = Cut(sizes.select("x", "p", "common", (F.col("both") - F.col("common")).alias("together")).distinct(), "checked")
+    sets.drop()
+    return out
 
 
 def join(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -251,7 +288,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     while True:
         late = frequent(docs, rule)
         sig = Cut(signatures(docs, rule, late), "signatures")
-        classes = Cut(sig.df.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.min("f2").alias("lo"), F.max("f2").alias("hi")), "classes")
+        classes = Cut(sig.df.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.min("f2").alias("lo"), F.max("f2").alias("hi"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity")), "classes")
         if classes.df.where("lo <> hi").isEmpty():
             break
         sig.drop(), classes.drop()
@@ -268,24 +305,28 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _class_roots(docs: DataFrame, rule: Rule, sig: DataFrame, classes: DataFrame) -> Cut | None:
     """u, v: each linked class and the root of its component; None if no classes link."""
-    entries = sig.where("anchors is not null").select(F.explode("anchors").alias("h"), F.col("f1").alias("x"), "n")
-    shared = entries.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("h")
-    region = Cut(entries.join(shared, "h").select("h", "x", "n", F.col("x").alias("root"), F.lit(None).cast("double").alias("far")), "regions")
-    active = region.df.select(F.col("x").alias("f1")).distinct()
-    ids = classes.join(active, "f1").select(F.col("rep").alias("doc_id"))
-    sets = Cut(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), rule), "sets")
+    entries = sig.where("anchors is not null").select(F.posexplode("anchors").alias("at", "h"), F.col("f1").alias("x"), "n")
+    # tables that are joined by an anchor are written first, so that a join can split an anchor with very many rows
+    shared = Cut(entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "anchors")  # classes that several tasks told count more than once
+    region = Cut(entries.join(shared.df, "h").select("h", "x", "n", "at", F.col("x").alias("root"), F.lit(None).cast("double").alias("far")), "regions")
+    shared.drop()
     roots: Cut | None = None
-    pivots, first = 1, True
+    turn = 0
     while not region.df.isEmpty():
         # the pivots of each anchor's region: the first classes of those that are left
         order = Window.partitionBy("h").orderBy("x")
-        chosen = region.df.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-        p = chosen.select("h", F.col("x").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"), F.col("far").alias("p_far"))
+        chosen = region.df.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS[min(turn, len(PIVOTS) - 1)]).withColumn("last", F.max("x").over(Window.partitionBy("h")))
+        leaders = Cut(chosen.select("h", "k", "last", F.col("x").alias("p"), F.col("n").alias("p_n"), F.col("at").alias("p_at"), F.col("root").alias("p_root"), F.col("far").alias("p_far")), "pivots")
+        p = leaders.df.drop("k", "last")
         near = (F.col("x") > F.col("p")) & (F.col("root") != F.col("p_root"))
         near &= F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * rule.percent  # else the sizes alone exclude a link
+        # a pair's first common anchor leaves so many shingles to share at most; each pair is seen in that anchor's region too
+        near &= F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) * (100 + rule.percent) >= (F.col("n") + F.col("p_n")) * rule.percent
         near &= F.coalesce(F.abs(F.col("far") - F.col("p_far")) <= rule.distance + 1e-9, F.lit(True))
         pairs = region.df.join(p, "h").where(near).select("x", "p").distinct()
-        checked = Cut(_verified(pairs, sets.df).distinct(), "checked")
+        possible = Cut(_possible(pairs, classes, rule), "possible")
+        checked = _verified(possible.df, docs, classes, rule)
+        possible.drop()
         links = checked.df.where(F.col("common") * 100 >= F.col("together") * rule.percent).select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not links.isEmpty():
             new = components(links if roots is None else links.union(roots.df.select("u", "v")))
@@ -293,20 +334,21 @@ def _class_roots(docs: DataFrame, rule: Rule, sig: DataFrame, classes: DataFrame
                 roots.drop()
             roots = new
         # what is left: classes that weren't pivots, in regions that are not yet in one component
-        last = p.groupBy("h").agg(F.max("p").alias("last"), F.min("p").alias("p"))
-        left = region.df.join(last, "h").where("x > last").drop("last", "root")
+        left = region.df.join(leaders.df.where("k = 1").select("h", "last", "p"), "h").where("x > last").drop("last", "root")
         if roots is None:
             left = left.withColumn("root", F.col("x"))
         else:
             left = left.join(roots.df.select(F.col("u").alias("x"), "v"), "x", "left").withColumn("root", F.coalesce("v", "x")).drop("v")
-        if first:
+        if turn == 0:
             far = checked.df.select("x", "p", (1 - F.col("common") / F.col("together")).alias("d"))
             left = left.join(far, ["x", "p"], "left").withColumn("far", F.col("d"))
-        open_regions = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-        new_region = Cut(left.join(open_regions, "h").select("h", "x", "n", "root", "far"), "regions")
-        region.drop(), checked.drop()
-        region, first, pivots = new_region, False, min(pivots * 4, 16)
-    region.drop(), sets.drop()
+        rest = Cut(left.select("h", "x", "n", "at", "root", "far"), "regions")
+        open_regions = Cut(rest.df.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "anchors")
+        new_region = Cut(rest.df.join(open_regions.df, "h"), "regions")
+        for cut in (region, checked, leaders, rest, open_regions):
+            cut.drop()
+        region, turn = new_region, turn + 1
+    region.drop()
     return roots
 
 
