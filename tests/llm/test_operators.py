@@ -206,7 +206,7 @@ def test_line_dedup(spark, odd, empty):
 
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_shard_store(spark, odd, empty, tmp_path):
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", odd.schema, target_bytes=40_000, fan_in=3)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", odd.schema, target_bytes=4 << 20, fan_in=3)
     assert store.read().count() == 0 and store.append(empty) in (None, 1)
     for _ in range(5):
         store.append(odd)
