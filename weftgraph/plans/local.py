@@ -92,9 +92,7 @@ class Search:
         if len(path) == n:
             yield list(path)
             return
-        levels: list[list] = [[iter(self._choices(path)), set(), False]]  # choices, failing places, matched below
-        if True:
-            levels[0][1].update(self.ancestors[len(path)])
+        levels: list[list] = [[iter(self._choices(path)), set(self.ancestors[len(path)]), False]]  # choices, failing places, matched below
         base = len(path)
         while levels:
             choices, fails, matched = levels[-1]
