@@ -204,6 +204,17 @@ def test_line_dedup(spark, odd, empty):
     assert lines.drop_recurring(empty, "__a", "__b").count() == 0
 
 
+def test_line_dedup_of_recurring_fields(spark):
+    """Each field value is in several documents, each combination in one."""
+    rng = random.Random(8)
+    names, cities = ["Ann", "Bob", "Cid", "Dee"], ["Oslo", "Rome", "Bonn", "Nice"]
+    posted = "Posted on our site by {} from the city of {} for all who read it"
+    rows = [(k, f"{words(rng, 40)}\n{posted.format(*x)}\n{words(rng, 30)}", "en", "a", 1) for k, x in enumerate(itertools.product(names, cities))]
+    rows += [(100, posted.format("Ann", "Rome").replace("for all who read it", "and then went far away"), "en", "a", 1)]  # half of it differs
+    out = {r.doc_id: r for r in lines.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[k].n_dropped == 1 and "Posted" not in out[k].text for k in range(16)) and out[100].n_dropped == 0
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_shard_store(spark, odd, empty, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", odd.schema, target_bytes=4 << 20, fan_in=3)

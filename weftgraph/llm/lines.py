@@ -2,10 +2,10 @@
 
 Every line is parsed down a tree of fixed depth: its number of tokens, then its ``LEADING`` leading
 tokens; tokens with a digit are variable fields and count as ``<*>``. A leaf's lines are generalised
-further by position: the line is cut into ``SEGMENTS`` runs of tokens, a run that the leaf has in one
-document only is a variable field, and the rest is the template, if at least ``CONSTANT`` of the runs
-are constant. So a line has an exact template (digits masked) and, if it is long enough, a general
-one. A template that recurs in two or more documents is dropped from all of them.
+further by position: the line is cut into ``SEGMENTS`` runs of tokens, and each choice of ``CONSTANT``
+of them is a general template, whatever the others hold and however often their values recur. So a
+line has an exact template (digits masked) and, if it is long enough, general ones. A template that
+recurs in two or more documents is dropped from all of them.
 
 Copies of whole documents are no recurring lines but the business of document dedup: a document whose
 tokens are mostly (``COPY`` and more) in recurring lines is a copy, and all copies together count as
@@ -25,7 +25,10 @@ joins that can be split, so no line or leaf that a third of all documents share
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Cut
@@ -73,15 +76,27 @@ def _several(doc: str = "doc") -> Column:
     return F.min(doc) < F.max(doc)
 
 
+def _choices(spark: SparkSession) -> DataFrame:
+    """a, b: the runs that a general template leaves out."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({a}, {b})" for a, b in itertools.combinations(range(SEGMENTS), SEGMENTS - CONSTANT)) + " AS t(a, b)")
+
+
 def _general(lines: DataFrame) -> DataFrame:
-    """doc, row, pos, n, g: the general template (with the leaf in it) of lines that have one."""
-    leaves = Cut(lines.where("leaf is not null").groupBy("leaf").agg(_several().alias("some")).where("some").select("leaf"), "leaves")
-    runs = lines.where("leaf is not null").join(leaves.df, "leaf").select("leaf", "doc", "row", "pos", "n", F.posexplode("runs").alias("i", "run"))
-    constant = Cut(runs.groupBy("leaf", "i", "run").agg(_several().alias("some")).where("some").select("leaf", "i", "run"), "runs")
-    kept = runs.join(constant.df, ["leaf", "i", "run"]).select("leaf", "doc", "row", "pos", "n", F.xxhash64("leaf", "i", "run").alias("part"))
-    # sums of hashes: the same for the same set of runs, in any order
-    found = kept.groupBy("doc", "row", "pos", "n").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("part").cast("decimal(38,0)")).alias("sum"))
-    return found.where(F.col("k") >= CONSTANT).select("doc", "row", "pos", "n", F.xxhash64("sum").alias("g"))
+    """doc, row, pos, n, g: the general templates (with the leaf in them) that two documents or more share.
+
+    Lines of one exact template need no general one, so leaves and templates of a single one are left out.
+    """
+    some = (_several() & _several("exact_1")).alias("some")
+    lines = lines.where("leaf is not null").select("leaf", "runs", "exact_1", "doc", "row", "pos", "n")
+    leaves = Cut(lines.groupBy("leaf").agg(some).where("some").select("leaf"), "leaves")
+    part = lambda i: F.xxhash64(i, F.get("runs", i))
+    # exclusive or of hashes: what is left out is taken from that of all runs
+    whole = functools.reduce(Column.bitwiseXOR, [part(F.lit(i)) for i in range(SEGMENTS)])
+    chosen = lines.join(leaves.df, "leaf", "left_semi").withColumn("whole", whole).join(F.broadcast(_choices(lines.sparkSession)))
+    g = F.xxhash64("leaf", F.col("whole").bitwiseXOR(part(F.col("a"))).bitwiseXOR(part(F.col("b"))))
+    keyed = Cut(chosen.select("doc", "row", "pos", "n", "exact_1", g.alias("g")), "chosen")
+    keys = Cut(keyed.df.groupBy("g").agg(some).where("some").select("g"), "keys")
+    return keyed.df.join(keys.df, "g", "left_semi").select("doc", "row", "pos", "n", "g")
 
 
 def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
