@@ -215,6 +215,21 @@ def test_line_dedup_of_recurring_fields(spark):
     assert all(out[k].n_dropped == 1 and "Posted" not in out[k].text for k in range(16)) and out[100].n_dropped == 0
 
 
+def test_line_dedup_of_copies(spark):
+    """A passage that is most of otherwise different documents goes; copy groups, each its own, stay."""
+    rng = random.Random(9)
+    passage, notice = words(rng, 60), words(rng, 20)
+    rows = [(k, f"{passage}\n{words(rng, 50)}", "en", "a", 1) for k in range(40)]
+    groups = [[words(rng, 30) for _ in range(8)] for _ in range(3)]
+    for k, g in enumerate(groups):
+        near = [*g[:7], words(rng, 30)]  # one line of eight is another
+        rows += [(100 + 10 * k + i, "\n".join([*(near if i == 2 else g), notice]), "en", "a", 1) for i in range(3)]
+    out = {r.doc_id: r for r in lines.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[k].n_dropped == 1 and passage not in out[k].text for k in range(40))
+    for k in range(3):  # only the notice is in several groups
+        assert all(out[100 + 10 * k + i].n_dropped == 1 and notice not in out[100 + 10 * k + i].text for i in range(3))
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_shard_store(spark, odd, empty, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", odd.schema, target_bytes=4 << 20, fan_in=3)

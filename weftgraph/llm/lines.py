@@ -7,10 +7,12 @@ of them is a general template, whatever the others hold and however often their
 line has an exact template (digits masked) and, if it is long enough, general ones. A template that
 recurs in two or more documents is dropped from all of them.
 
-Copies of whole documents are no recurring lines but the business of document dedup: a document whose
-tokens are mostly (``COPY`` and more) in recurring lines is a copy, and all copies together count as
-one document when recurrence is counted. So copies stay whole, unless a template also occurs in
-another document.
+Copies of whole documents are no recurring lines but the business of document dedup: documents of the
+same whole text, and documents that hold ``SAME`` of one another's tokens in lines with common
+templates, are one copy group, and a group counts as one document when recurrence is counted. So
+copies stay whole, unless a template also occurs in a document outside of the group. A document with
+``COPY`` or more of its tokens in recurring lines is compared with the ``LEADERS`` documents that
+share most of it among those that are the first (by doc_id) to hold one of its templates.
 
 Lines of fewer than ``SHORT`` tokens recur by chance; they are dropped from ``SHORT_DOCS`` documents
 on. A line of mostly variable fields
@@ -28,17 +30,17 @@ from __future__ import annotations
 import functools
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Cut
 
 LEADING, SEGMENTS, CONSTANT, GENERAL_LEAST = 3, 8, 6, 12
 SHORT, SHORT_DOCS = 5, 100
-COPY = 0.5
+COPY, SAME, LEADERS = 0.5, 0.8, 3
 _WHITE = r"[\x20\x09-\x0D]+"
-#: The document number of all copies, and of rows without one.
-_COPIES, _NONE = -(1 << 63), -(1 << 63) + 1
+#: The document number of rows without one.
+_NONE = -(1 << 63) + 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -116,6 +118,42 @@ def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
     return exact.join(exact_keys, key, "left_semi").select(*line).union(general.join(general_keys, "g", "left_semi").select(*line)).distinct()
 
 
+def _copies(lines: DataFrame, exact: DataFrame, general: DataFrame, total: DataFrame) -> DataFrame:
+    """doc, copy: the copy group of the documents that are in one with a smaller doc_id, named by its smallest.
+
+    Each document is compared with ``LEADERS`` others at most, line by line, so that a passage in very
+    many documents makes no pairs of them.
+    """
+    line = ["doc", "row", "pos", "n"]
+    share = _recurring(exact, general, F.col("doc")).groupBy("doc").agg(F.sum("n").alias("again"))
+    mostly = Cut(total.join(share, "doc").where(F.col("again") >= COPY * F.col("all")).select("doc", "all"), "mostly")
+    keyed = exact.select(*line, F.xxhash64("exact_1", "exact_2").alias("key")).union(general.select(*line, F.col("g").alias("key")))
+    keys = Cut(keyed.join(mostly.df.select("doc"), "doc", "left_semi").distinct(), "keys")
+    first = Cut(keys.df.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("key", "leader"), "first")
+    led = keys.df.join(first.df, "key").where("leader < doc").select(*line, "leader").distinct().groupBy("doc", "leader").agg(F.sum("n").alias("k"))
+    best = led.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("k"), "leader"))).where(F.col("rank") <= LEADERS).select("doc", "leader")
+    pairs = Cut(best, "pairs")
+    # the tokens of each in lines whose templates the other has
+    mine = keys.df.join(pairs.df, "doc").select("doc", "leader", "row", "pos", "n", "key")
+    others = keys.df.select(F.col("doc").alias("leader"), F.col("row").alias("o_row"), F.col("pos").alias("o_pos"), F.col("n").alias("o_n"), "key").join(pairs.df, "leader")
+    by_mine = mine.join(others.select("doc", "leader", "key").distinct(), ["doc", "leader", "key"], "left_semi").select("doc", "leader", "row", "pos", "n").distinct()
+    by_others = others.join(mine.select("doc", "leader", "key").distinct(), ["doc", "leader", "key"], "left_semi").select("doc", "leader", "o_row", "o_pos", "o_n").distinct()
+    both = by_mine.groupBy("doc", "leader").agg(F.sum("n").alias("k")).join(by_others.groupBy("doc", "leader").agg(F.sum("o_n").alias("o_k")), ["doc", "leader"])
+    alike = both.join(mostly.df, "doc").join(mostly.df.select(F.col("doc").alias("leader"), F.col("all").alias("o_all")), "leader")
+    alike = alike.where((F.col("k") >= SAME * F.col("all")) & (F.col("o_k") >= SAME * F.col("o_all"))).select("doc", "leader")
+    texts = lines.select("doc", "row").distinct()
+    # a document with several rows is of no one text
+    texts = texts.join(texts.groupBy("doc").agg(F.max("row").alias("row"), F.min("row").alias("least")).where("least = row").select("doc", "row"), ["doc", "row"], "left_semi")
+    whole = texts.join(texts.groupBy("row").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("row", "leader"), "row").where("leader < doc").select("doc", "leader")
+    group = Cut(whole.union(alike).groupBy("doc").agg(F.min("leader").alias("copy")), "copies")
+    while True:  # a leader's leader is the group's, as far up as there is one
+        up = group.df.select(F.col("doc").alias("copy"), F.col("copy").alias("up"))
+        higher = group.df.join(up, "copy", "left")
+        if not higher.where("up is not null").limit(1).count():
+            return group.df
+        group = Cut(higher.select("doc", F.coalesce("up", "copy").alias("copy")), "copies")
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc, row, drop: the numbers (from 0) of the lines that each text loses."""
     lines = Cut(_lines(docs), "lines")
@@ -125,10 +163,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     exact = Cut(lines.df.select("doc", "row", "pos", "n", *key).join(again.df, key, "left_semi"), "exact")
     general = Cut(_general(lines.df), "general")
     total = Cut(lines.df.groupBy("doc").agg(F.sum("n").alias("all")), "totals")
-    lines.drop(), again.drop()
-    share = _recurring(exact.df, general.df, F.col("doc")).groupBy("doc").agg(F.sum("n").alias("again"))
-    copies = Cut(total.df.join(share, "doc").where(F.col("again") >= COPY * F.col("all")).select("doc", F.lit(_COPIES).cast("long").alias("copy")), "copies")
-    lost = _recurring(exact.df.join(copies.df, "doc", "left"), general.df.join(copies.df, "doc", "left"), F.coalesce("copy", "doc"))
+    again.drop()
+    copies = _copies(lines.df, exact.df, general.df, total.df)
+    lines.drop()
+    lost = _recurring(exact.df.join(copies, "doc", "left"), general.df.join(copies, "doc", "left"), F.coalesce("copy", "doc"))
     return lost.groupBy("doc", "row").agg(F.collect_list("pos").alias("drop"))
 
 
