@@ -230,6 +230,15 @@ def test_line_dedup_of_copies(spark):
         assert all(out[100 + 10 * k + i].n_dropped == 1 and notice not in out[100 + 10 * k + i].text for i in range(3))
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Any word of a short line may vary, two of eight or more; by templates of few words only in very many documents."""
+    rng = random.Random(10)
+    forms = ["Written by {} in the local news", "{} sent this to our local news desk", "Home About {} {} Contact Help Terms Privacy", "All the news by {}"]
+    rows = [(k, "\n".join([words(rng, 40), *[f.format(f"N{chr(97 + k)}x", f"M{chr(97 + k)}y") for f in forms], words(rng, 30)]), "en", "a", 1) for k in range(20)]
+    out = {r.doc_id: r for r in lines.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[k].n_dropped == 3 and out[k].text.split("\n")[1].startswith("All the news") for k in range(20))
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_shard_store(spark, odd, empty, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", odd.schema, target_bytes=4 << 20, fan_in=3)

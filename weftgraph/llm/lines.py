@@ -3,9 +3,12 @@
 Every line is parsed down a tree of fixed depth: its number of tokens, then its ``LEADING`` leading
 tokens; tokens with a digit are variable fields and count as ``<*>``. A leaf's lines are generalised
 further by position: the line is cut into ``SEGMENTS`` runs of tokens, and each choice of ``CONSTANT``
-of them is a general template, whatever the others hold and however often their values recur. So a
-line has an exact template (digits masked) and, if it is long enough, general ones. A template that
-recurs in two or more documents is dropped from all of them.
+of them is a general template, whatever the others hold and however often their values recur. Lines
+of fewer than ``GENERAL_LEAST`` tokens are generalised by single tokens: one of them may vary, from
+``TWO_LEAST`` on two, any of them. Such a line is in several leaves: it is cut into one part more than
+may vary, and each part, with the number of tokens, is a leaf, whose templates hold that part. So a
+line of ``SHORT`` or more tokens has an exact template (digits masked) and general ones. A template
+that recurs in two or more documents is dropped from all of them.
 
 Copies of whole documents are no recurring lines but the business of document dedup: documents of the
 same whole text, and documents that hold ``SAME`` of one another's tokens in lines with common
@@ -14,8 +17,8 @@ copies stay whole, unless a template also occurs in a document outside of the gr
 ``COPY`` or more of its tokens in recurring lines is compared with the ``LEADERS`` documents that
 share most of it among those that are the first (by doc_id) to hold one of its templates.
 
-Lines of fewer than ``SHORT`` tokens recur by chance; they are dropped from ``SHORT_DOCS`` documents
-on. A line of mostly variable fields
+Lines of fewer than ``SHORT`` tokens recur by chance, as do general templates of fewer constant words
+of a short line; they are dropped from ``SHORT_DOCS`` documents on. A line of mostly variable fields
 counts by its raw text. Blank lines stay.
 
 Null texts stay null; empty texts stay empty. Rows that share a doc_id are one document for
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Cut
 
-LEADING, SEGMENTS, CONSTANT, GENERAL_LEAST = 3, 8, 6, 12
+LEADING, SEGMENTS, CONSTANT, GENERAL_LEAST, TWO_LEAST = 3, 8, 6, 12, 8
 SHORT, SHORT_DOCS = 5, 100
 COPY, SAME, LEADERS = 0.5, 0.8, 3
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -43,8 +46,14 @@ _WHITE = r"[\x20\x09-\x0D]+"
 _NONE = -(1 << 63) + 1
 
 
+def _parts(n: int) -> list[tuple[int, int]]:
+    """First and last token of each part of a line of ``n`` tokens, fewer than ``GENERAL_LEAST``."""
+    k = 3 if n >= TWO_LEAST else 2
+    return [(n * i // k, n * (i + 1) // k - 1) for i in range(k)]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, row, pos, n, exact_1, exact_2, leaf, runs for each line with a token."""
+    """doc, row, pos, n, exact_1, exact_2, leaves, runs for each line with a token; the runs of a short line are its tokens."""
     exploded = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
     )
@@ -57,10 +66,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     fields = F.size(F.filter(F.when(F.col("numbers"), F.col("tokens")), lambda t: t == "<*>"))
     variable = F.coalesce(fields, F.lit(-1)) * 2 > F.col("n")  # such a line has no general template, and its raw text as the exact one
     template = F.when(variable, F.concat(F.lit("\n"), "line")).otherwise(F.col("masked"))
-    general = (F.col("n") >= GENERAL_LEAST) & ~variable
+    general = (F.col("n") >= SHORT) & ~variable
+    long = F.col("n") >= GENERAL_LEAST
     # run i of the line: tokens from floor(i n / SEGMENTS) up to floor((i + 1) n / SEGMENTS)
     bound: list[Column] = [F.floor(F.col("n") * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
     runs = F.array(*[F.hash(F.slice("tokens", bound[i] + 1, bound[i + 1] - bound[i])) for i in range(SEGMENTS)])
+    single = F.slice(F.array(*[F.hash(F.get("tokens", F.lit(i))) for i in range(GENERAL_LEAST - 1)]), 1, F.col("n"))
+    leaves = F.array(F.xxhash64("n", F.slice("tokens", 1, LEADING)))
+    for n in range(SHORT, GENERAL_LEAST):
+        of_n = F.array(*[F.xxhash64("n", F.lit(i), F.slice("tokens", a + 1, b - a + 1)) for i, (a, b) in enumerate(_parts(n))])
+        leaves = F.when(F.col("n") == n, of_n).otherwise(leaves)
     return tokens.select(
         "doc",
         "row",
@@ -68,8 +83,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         "n",
         F.xxhash64(template).alias("exact_1"),
         F.xxhash64(F.lit(1), template).alias("exact_2"),
-        F.when(general, F.xxhash64("n", F.slice("tokens", 1, LEADING))).alias("leaf"),
-        F.when(general, runs).alias("runs"),
+        F.when(general, leaves).alias("leaves"),
+        F.when(general & long, runs).when(general, single).alias("runs"),
     )
 
 
@@ -79,26 +94,38 @@ def _several(doc: str = "doc") -> Column:
 
 
 def _choices(spark: SparkSession) -> DataFrame:
-    """a, b: the runs that a general template leaves out."""
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({a}, {b})" for a, b in itertools.combinations(range(SEGMENTS), SEGMENTS - CONSTANT)) + " AS t(a, b)")
+    """kind, part, a, b: the runs (b may be null) that a general template leaves out, for lines of ``kind`` tokens (0: long) in the leaf of a part."""
+    rows = [(0, 0, a, b) for a, b in itertools.combinations(range(SEGMENTS), SEGMENTS - CONSTANT)]
+    for n in range(SHORT, GENERAL_LEAST):
+        for part, (first, last) in enumerate(_parts(n)):
+            free = [i for i in range(n) if not first <= i <= last]
+            rows += [(n, part, *x) for x in (itertools.combinations(free, 2) if n >= TWO_LEAST else [(i, None) for i in free])]
+    values = ", ".join(f"({kind}, {part}, {a}, {'CAST(NULL AS INT)' if b is None else b})" for kind, part, a, b in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, part, a, b)")
 
 
 def _general(lines: DataFrame) -> DataFrame:
-    """doc, row, pos, n, g: the general templates (with the leaf in them) that two documents or more share.
+    """doc, row, pos, n, g, few: the general templates (with the leaf in them) that two documents or more share.
 
-    Lines of one exact template need no general one, so leaves and templates of a single one are left out.
+    ``few`` tells those of short lines with fewer than ``SHORT`` constant words. Lines of one exact template
+    need no general one, so leaves and templates of a single one are left out.
     """
     some = (_several() & _several("exact_1")).alias("some")
-    lines = lines.where("leaf is not null").select("leaf", "runs", "exact_1", "doc", "row", "pos", "n")
-    leaves = Cut(lines.groupBy("leaf").agg(some).where("some").select("leaf"), "leaves")
+    parsed = lines.where("leaves is not null").select(F.posexplode("leaves").alias("part", "leaf"), "runs", "exact_1", "doc", "row", "pos", "n")
+    leaves = Cut(parsed.groupBy("leaf").agg(some).where("some").select("leaf"), "leaves")
     part = lambda i: F.xxhash64(i, F.get("runs", i))
+    word = lambda i: F.coalesce((F.get("runs", i) != F.hash(F.lit("<*>"))).cast("int"), F.lit(0))
+    most = range(GENERAL_LEAST - 1)  # runs that a line hasn't are null, and alike in all lines of the leaf
     # exclusive or of hashes: what is left out is taken from that of all runs
-    whole = functools.reduce(Column.bitwiseXOR, [part(F.lit(i)) for i in range(SEGMENTS)])
-    chosen = lines.join(leaves.df, "leaf", "left_semi").withColumn("whole", whole).join(F.broadcast(_choices(lines.sparkSession)))
+    whole = functools.reduce(Column.bitwiseXOR, [part(F.lit(i)) for i in most])
+    words = functools.reduce(Column.__add__, [word(F.lit(i)) for i in most])
+    kind = F.when(F.col("n") < GENERAL_LEAST, F.col("n")).otherwise(0)
+    chosen = parsed.join(leaves.df, "leaf", "left_semi").withColumns({"whole": whole, "words": words, "kind": kind}).join(F.broadcast(_choices(lines.sparkSession)), ["kind", "part"])
     g = F.xxhash64("leaf", F.col("whole").bitwiseXOR(part(F.col("a"))).bitwiseXOR(part(F.col("b"))))
-    keyed = Cut(chosen.select("doc", "row", "pos", "n", "exact_1", g.alias("g")), "chosen")
+    few = (F.col("kind") > 0) & (F.col("words") - word(F.col("a")) - word(F.col("b")) < SHORT)
+    keyed = Cut(chosen.select("doc", "row", "pos", "n", "exact_1", g.alias("g"), few.alias("few")), "chosen")
     keys = Cut(keyed.df.groupBy("g").agg(some).where("some").select("g"), "keys")
-    return keyed.df.join(keys.df, "g", "left_semi").select("doc", "row", "pos", "n", "g")
+    return keyed.df.join(keys.df, "g", "left_semi").select("doc", "row", "pos", "n", "g", "few")
 
 
 def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
@@ -113,7 +140,9 @@ def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
     # few templates are short: documents of each are told apart before they are counted
     often = short.select(*key, "unit").distinct().groupBy(*key).count().where(F.col("count") >= SHORT_DOCS).select(*key)
     exact_keys = Cut(several.union(often), "keys").df
-    general_keys = Cut(general.groupBy("g").agg(_several("unit").alias("some")).where("some").select("g"), "keys").df
+    several = general.where("not few").groupBy("g").agg(_several("unit").alias("some")).where("some").select("g")
+    often = general.where("few").select("g", "unit").distinct().groupBy("g").count().where(F.col("count") >= SHORT_DOCS).select("g")
+    general_keys = Cut(several.union(often), "keys").df
     line = ["doc", "row", "pos", "n"]
     return exact.join(exact_keys, key, "left_semi").select(*line).union(general.join(general_keys, "g", "left_semi").select(*line)).distinct()
 
