@@ -409,3 +409,19 @@ def test_html_extraction(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract_pages(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
     assert html.extract_pages(df.where("false")).count() == 0
+
+
+def test_html_of_several_parts():
+    """Pages without article whose text is mostly in one section, list or table keep the rest too."""
+    rng = random.Random(11)
+    intro, one, two, end = (words(rng, n) for n in (30, 120, 60, 20))
+    for form in (
+        "<section><p>{}</section><section><p>{}</section>",
+        "<div><p>{}</div><div><p>{}</div>",
+        "<ul><li>{}</ul><p>{}",
+        "<table><tr><td>{}<td>{}</table>",
+        "<dl><dt>Term<dd>{}</dl><div>{}</div>",
+    ):
+        body = f'<h1>Head</h1><p>{intro}</p>{form.format(one, two)}<p>{end}</p><p>Bye.</p>'
+        want = " ".join(["Head", intro, *(["Term"] if "<dt>" in form else []), one, two, end, "Bye."])
+        assert html.extract(PAGE % f'<div class="content">{body}</div>') == want, form

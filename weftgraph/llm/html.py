@@ -4,9 +4,10 @@ The standard library's parser feeds events. Block elements end lines; each line
 number of tags and its place in the tree. Lines within menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are out. The ratio of text to tags of the other lines is
 smoothed with a Gaussian; lines over the threshold (the ratios' standard deviation, or their largest
-value if that is smaller) are the content's core. The region is the innermost element that holds most
-of the core's text, an article or main element that holds it first; all its lines that are not out
-are the result, so that short paragraphs between long ones stay.
+value if that is smaller) are the content's core. The region is the article or main element that holds
+most of the core's text, or else the innermost element that holds all of it and is no mere part of a
+text, as sections, lists and tables are; all its lines that are not out are the result, so that short
+paragraphs between long ones stay.
 
 A null or empty page, or one without text outside of what is out, gives the empty string. Very long
 pages are parsed in pieces and whole. Repeated rows give repeated results; ties between elements go
@@ -59,7 +60,8 @@ HEADS = frozenset("header masthead side legal".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 RADIUS, SIGMA = 2, 1.0
-MOST = 0.5
+#: Elements that are parts of a text.
+PARTS = frozenset("p li td th tr tbody thead tfoot caption table ul ol dl dt dd dir blockquote pre address details summary figure figcaption h1 h2 h3 h4 h5 h6 hgroup section".split())
 
 
 def noisy(value: str, tag: str, inside: bool) -> bool:
@@ -200,7 +202,7 @@ def region(parser: Lines) -> int:
     if named:
         best = max(named, key=lambda e: (core[e], e))  # the inner one, if all of the outer one's core is in it
         return best
-    inner = [e for e in range(len(core)) if core[e] > MOST * total and parser.tags[e] not in ("p", "li", "td", "blockquote", "pre")]
+    inner = [e for e in range(len(core)) if core[e] == total and parser.tags[e] not in PARTS]
     return max(inner, default=0)
 
 
