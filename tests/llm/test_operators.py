@@ -166,6 +166,20 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality.verdicts(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def test_quality_fences_follow_the_language(spark):
+    """The same share of capitals is beyond the tail of one language and within that of another."""
+    rng = random.Random(12)
+
+    def text(capitals):
+        w = words(rng, 200).split()
+        return " ".join([x.upper() for x in w[:capitals]] + w[capitals:])
+
+    rows = [(k, text(k % 10 == 0), "en", f"s{k % 2}", 1) for k in range(300)] + [(1000 + k, text(30 * (k % 10 == 0)), "de", f"s{k % 2}", 1) for k in range(300)]
+    rows += [(2000, text(30), "en", "s0", 1), (2001, text(30), "de", "s0", 1), (2002, text(2), "en", "s0", 1)]
+    found = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k, kept in found.items() if not kept] == [2000]
+
+
 def test_sketch_is_mergeable_and_close(spark):
     rng = random.Random(6)
     xs = [int(rng.expovariate(1) * 10 ** rng.randrange(1, 6)) for _ in range(4000)]

@@ -2,9 +2,11 @@
 
 Every document gets base counts of its whole text. The rates derived from them go into quantile
 sketches, one for each language, source and rate. A rate's upper fence is its third quartile plus
-``SPREAD`` times the distance of the quartiles, but at least the rate's ``least`` value, so that a
-group of equal documents doesn't reject ordinary variation; the mean word length has a lower fence
-too. A group of fewer than ``GROUP_LEAST`` documents takes the fences of its language, a language of
+``SPREAD`` times the distance of the quartiles. Most rates are 0 in most documents, and their quartiles
+with it; so the fence is never below the language's median plus ``SPREAD`` times the distance of its
+``TAIL`` quantile. This floor is at most the rate's ``LEAST`` value, since junk may be in the tail, and
+that value itself where the tail is at the median, so that equal documents don't reject ordinary
+variation. The mean word length has a lower fence too. A group of fewer than ``GROUP_LEAST`` documents takes the fences of its language, a language of
 fewer those of all documents (the same sketches, merged). A document is kept if it doesn't fail the
 base rules and every rate is within the fences of its language and source.
 
@@ -30,7 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREAD = 3
 GROUP_LEAST = 200
-#: Per 1000 words (or lines, or characters): the fence is never below this.
+TAIL = 0.99
+#: Per 1000 words (or lines, or characters): the floor of the fence is at most this.
 LEAST = {"symbols": 100, "dup_lines": 500, "repeats": 400, "capitals": 300, "marks": 150, "word_chars": 10_000}
 #: The fence of short words is never above this many characters per 1000 words.
 MOST_SHORT = 3_000
@@ -117,16 +120,17 @@ def fences(counts: DataFrame) -> DataFrame:
     From documents that pass the base rules. One row for each language and source of ``counts``.
     """
     by_group = sketch.sketch(counts.where(~base_failed()), ["lang", "source"], rates())
-    at = {"q1": 0.25, "q3": 0.75}
+    at = {"q1": 0.25, "mid": 0.5, "q3": 0.75, "tail": TAIL}
+    names = [*[f"high_{m}" for m in LEAST], "low_word_chars", *[f"floor_{m}" for m in LEAST]]
 
     def wide(s: DataFrame, keys: list[str], name: str) -> DataFrame:
         q = sketch.quantiles(s, keys, at)
         high = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))
         low = F.col("q1") - SPREAD * (F.col("q3") - F.col("q1"))
         least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in LEAST.items()])
+        floor = F.when(F.col("tail") > F.col("mid"), F.least(F.col("mid") + SPREAD * (F.col("tail") - F.col("mid")), least)).otherwise(least)
         pick = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-        cells = [pick(m, F.greatest(high, least)).alias(f"high_{m}") for m in LEAST] + [pick("word_chars", F.least(low, F.lit(MOST_SHORT))).alias("low_word_chars")]
-        names = [f"high_{m}" for m in LEAST] + ["low_word_chars"]
+        cells = [pick(m, high).alias(f"high_{m}") for m in LEAST] + [pick("word_chars", F.least(low, F.lit(MOST_SHORT))).alias("low_word_chars")] + [pick(m, floor).alias(f"floor_{m}") for m in LEAST]
         out = q.groupBy(*keys).agg(F.max("n").alias("n"), *cells)
         return out.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.when(F.col("n") >= (GROUP_LEAST if keys else 0), F.struct(*names)).alias(name))
 
@@ -138,7 +142,9 @@ def fences(counts: DataFrame) -> DataFrame:
         .join(one, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
         .join(F.broadcast(everything), F.lit(True), "left")  # one row
     )
-    return joined.select("lang", "source", F.coalesce("g", "l", "a").alias("fence"))
+    own, tail = F.coalesce("g", "l", "a"), F.coalesce("l", "a")
+    highs = [F.greatest(own[f"high_{m}"], tail[f"floor_{m}"]).alias(f"high_{m}") for m in LEAST]
+    return joined.select("lang", "source", F.struct(*highs, own["low_word_chars"].alias("low_word_chars")).alias("fence"))
 
 
 def within() -> Column:
