@@ -95,6 +95,18 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_documents(odd).count() == odd.count() and licenses.scan_documents(empty).count() == 0
 
 
+def test_stretched_license_in_a_long_window():
+    """A find of nearly twice its template's length, at any place among frequent words of the template."""
+    license = [f"t{k}" for k in range(40)]
+    around = [license[17 + k // 25 % 6] if k % 25 == 0 else f"a{k}" for k in range(600)]  # the six words that the find lacks
+    far = [*license[:17], *license[23:]][::-1] * 30  # the others are more frequent
+    for shift in range(20):
+        inside = [*license[:17], *[f"i{k}" for k in range(44)], *license[23:]]
+        text = [*around, *["pad"] * shift, *inside, *reversed(around), *far]
+        found = licenses.scan(" ".join(text), {"L": " ".join(license)})
+        assert found and found[0][1] >= 34 / 40, shift
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 def test_chat_template_is_reversible():
     rng = random.Random(3)

@@ -134,23 +134,35 @@ class Template:
         best = None
         for lo, hi in windows:
             for start, end in self._parts(max(0, lo), min(len(text), hi)):
-                pairs = align(text[start:end], self.words)
+                pairs = self._nearest(align(text[start:end], self.words), near)
                 if len(pairs) < self.need:
                     continue
                 first, last = start + pairs[0][0], start + pairs[-1][0] + 1
-                if last - first <= near and (best is None or len(pairs) > best[0]):
+                if best is None or len(pairs) > best[0]:
                     best = (len(pairs), first, last)
         return best
 
+    @staticmethod
+    def _nearest(pairs: list[tuple[int, int]], near: int) -> list[tuple[int, int]]:
+        """The most pairs, the first of as many, within ``near`` words of the text: matches of words around a find don't hide it."""
+        a = b = i = 0
+        for j in range(len(pairs)):
+            while pairs[j][0] + 1 - pairs[i][0] > near:
+                i += 1
+            if j + 1 - i > b - a:
+                a, b = i, j + 1
+        return pairs[a:b]
+
     def _parts(self, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-        """A window as it is, if it is short; a long one (many finds in a row) in overlapping parts too."""
+        """A window as it is, if it is short; a long one (many finds in a row) in overlapping parts too, each find whole in one."""
         size = 2 * STRETCH * len(self.words)
         if hi - lo <= 2 * size:
             yield lo, hi
         step = len(self.words)
         if hi - lo > step:
-            for start in range(lo, hi, max(1, step // 2)):
-                yield start, min(hi, start + 2 * step)
+            stride = max(1, step // 2)
+            for start in range(lo, hi, stride):
+                yield start, min(hi, start + STRETCH * step + stride)
 
 
 _COMPILED: dict[tuple, tuple[list[Template], frozenset]] = {}
