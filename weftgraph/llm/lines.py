@@ -1,31 +1,31 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
 Every line is parsed down a tree of fixed depth: its number of tokens, then its ``LEADING`` leading
-tokens; tokens with a digit are variable fields and count as ``<*>``. A leaf's lines are generalised
-further by position: the line is cut into ``SEGMENTS`` runs of tokens, and each choice of ``CONSTANT``
-of them is a general template, whatever the others hold and however often their values recur. Lines
-of fewer than ``GENERAL_LEAST`` tokens are generalised by single tokens: one of them may vary, from
-``TWO_LEAST`` on two, any of them. Such a line is in several leaves: it is cut into one part more than
-may vary, and each part, with the number of tokens, is a leaf, whose templates hold that part. So a
-line of ``SHORT`` or more tokens has an exact template (digits masked) and general ones. A template
-that recurs in two or more documents is dropped from all of them.
-
-Copies of whole documents are no recurring lines but the business of document dedup: documents of the
-same whole text, and documents that hold ``SAME`` of one another's tokens in lines with common
-templates, are one copy group, and a group counts as one document when recurrence is counted. So
-copies stay whole, unless a template also occurs in a document outside of the group. A document with
-``COPY`` or more of its tokens in recurring lines is compared with the ``LEADERS`` documents that
-share most of it among those that are the first (by doc_id) to hold one of its templates.
-
-Lines of fewer than ``SHORT`` tokens recur by chance, as do general templates of fewer constant words
-of a short line; they are dropped from ``SHORT_DOCS`` documents on. A line of mostly variable fields
-counts by its raw text. Blank lines stay.
-
-Null texts stay null; empty texts stay empty. Rows that share a doc_id are one document for
-recurrence, but keep their own lines; rows without one are together one document. Repeated rows give
-repeated results. Very long texts are handled line by line. Extra columns are ignored; an empty
-table gives an empty one. All of it is counts, minima and maxima by key, combined before the shuffle, and
-joins that can be split, so no line or leaf that a third of all documents share meets in one task.
+tokens; tokens with a digit are variable fields and count as ``<*>``. Lines of a leaf with equal tokens
+are an *exact* template. A leaf's templates are generalised further by position: the line is cut into
+``SEGMENTS`` runs of tokens, and each choice of ``CONSTANT`` of them is a *general* template, whatever the
+others hold and however often their values recur. So two lines of a leaf match if their similarity, by
+runs, is that high. Lines of fewer than ``GENERAL_LEAST`` tokens are generalised by single tokens: one of
+them may vary, from ``TWO_LEAST`` on two, any of them. Such a line is in several leaves: it is cut into one
+part more than may vary, and each part, with the number of tokens, is a leaf, whose templates hold that
+part. A template that recurs in two or more documents is dropped from all of them.
+
+Documents are told apart by their texts: copies of one text are one document. Near copies of whole
+documents are no recurring lines either but the business of document dedup. A template's *leader* is the
+first (by hash) text that holds it; a text with ``SAME`` of its tokens in lines of one leader is a near
+copy of it, and counts as that document. So copies stay whole, unless a template also occurs in a
+document outside of the group.
+
+Lines of fewer than ``SHORT`` tokens recur by chance, as do general templates of fewer constant words;
+they are dropped if they stand in ``SHORT_SHARE`` of all texts (and in two), at every size of the table alike.
+A line of mostly variable fields has its raw text as its only template. Blank lines stay.
+
+Null texts stay null; empty texts stay empty. The doc_id isn't read, so null and repeated ones are
+nothing special. Repeated rows give repeated results. Very long texts are handled line by line. Extra
+columns are kept; their names may not start with ``__``. An empty table gives an empty one. All of it is
+counts, minima and maxima by key, combined before the shuffle, and joins of written tables, which can be
+split, so no line or leaf that a third of all documents share meets in one task. Templates, texts and
+leaves are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,17 +33,16 @@ from __future__ import annotations
 import functools
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Cut
 
 LEADING, SEGMENTS, CONSTANT, GENERAL_LEAST, TWO_LEAST = 3, 8, 6, 12, 8
-SHORT, SHORT_DOCS = 5, 100
-COPY, SAME, LEADERS = 0.5, 0.8, 3
-_WHITE = r"[\x20\x09-\x0D]+"
-#: The document number of rows without one.
-_NONE = -(1 << 63) + 1
+SHORT, SHORT_SHARE, SAME = 5, 0.005, 0.8
+#: A digit, or white space other than the space.
+_SPECIAL = r"[0-9\x09\x0B-\x0D]"
+_RUNS = [f"run{i}" for i in range(SEGMENTS)]
 
 
 def _parts(n: int) -> list[tuple[int, int]]:
@@ -53,160 +52,145 @@ def _parts(n: int) -> list[tuple[int, int]]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, row, pos, n, exact_1, exact_2, leaves, runs for each line with a token; the runs of a short line are its tokens."""
-    exploded = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
-    )
-    # single spaces between tokens and none around them, as nearly all lines have already
-    plain = F.when(F.col("raw").rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace("raw", _WHITE, " "))).otherwise(F.col("raw"))
-    numbers = F.col("line").rlike("[0-9]")
-    parsed = exploded.select("doc", "row", "pos", plain.alias("line")).where("line <> ''").withColumn("numbers", numbers)
-    masked = F.when(F.col("numbers"), F.regexp_replace("line", "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("line"))
-    tokens = parsed.withColumn("masked", masked).withColumn("tokens", F.split("masked", " ")).withColumn("n", F.size("tokens"))
-    fields = F.size(F.filter(F.when(F.col("numbers"), F.col("tokens")), lambda t: t == "<*>"))
-    variable = F.coalesce(fields, F.lit(-1)) * 2 > F.col("n")  # such a line has no general template, and its raw text as the exact one
-    template = F.when(variable, F.concat(F.lit("\n"), "line")).otherwise(F.col("masked"))
-    general = (F.col("n") >= SHORT) & ~variable
-    long = F.col("n") >= GENERAL_LEAST
-    # run i of the line: tokens from floor(i n / SEGMENTS) up to floor((i + 1) n / SEGMENTS)
-    bound: list[Column] = [F.floor(F.col("n") * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
-    runs = F.array(*[F.hash(F.slice("tokens", bound[i] + 1, bound[i + 1] - bound[i])) for i in range(SEGMENTS)])
-    single = F.slice(F.array(*[F.hash(F.get("tokens", F.lit(i))) for i in range(GENERAL_LEAST - 1)]), 1, F.col("n"))
-    leaves = F.array(F.xxhash64("n", F.slice("tokens", 1, LEADING)))
-    for n in range(SHORT, GENERAL_LEAST):
-        of_n = F.array(*[F.xxhash64("n", F.lit(i), F.slice("tokens", a + 1, b - a + 1)) for i, (a, b) in enumerate(_parts(n))])
-        leaves = F.when(F.col("n") == n, of_n).otherwise(leaves)
-    return tokens.select(
-        "doc",
+    """row, pos, n, exact, leaf, run0 and so on, words of each line; n is 0 for blank ones.
+
+    leaf and runs are null but for lines of ``GENERAL_LEAST`` tokens or more, words (hashes) but for shorter ones that
+    have general templates. Nearly all lines take the plain way: no digit, spaces only. The expressions are kept small,
+    since the JVM doesn't compile very long methods.
+    """
+    exploded = docs.select(F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where("raw <> ''")
+    spaced = F.regexp_replace("raw", r"[\x09\x0B-\x0D]", " ")
+    masked = F.when(F.col("raw").rlike(_SPECIAL), F.regexp_replace(spaced, "[^ 0-9]*+[0-9][^ ]*+", "<*>"))
+    parsed = exploded.select("row", "pos", "raw", masked.alias("masked")).withColumn("tokens", F.array_remove(F.split(F.coalesce("masked", "raw"), " "), ""))
+    fields = F.coalesce(F.length("masked") - F.length(F.replace("masked", F.lit("<*>"), F.lit(""))), F.lit(0))  # times 3
+    kinds = parsed.select("row", "pos", "raw", "tokens", F.size("tokens").alias("n"), fields.alias("fields")).withColumn("variable", F.col("fields") * 2 > F.col("n") * 3)
+    long, short = f"NOT variable AND n >= {GENERAL_LEAST}", f"NOT variable AND n BETWEEN {SHORT} AND {GENERAL_LEAST - 1}"
+    # run i of the line: tokens from i n / SEGMENTS up to (i + 1) n / SEGMENTS, rounded down
+    run = "CASE WHEN {long} THEN hash(slice(tokens, n * {i} div {k} + 1, n * ({i} + 1) div {k} - n * {i} div {k})) END"
+    return kinds.select(
         "row",
         "pos",
         "n",
-        F.xxhash64(template).alias("exact_1"),
-        F.xxhash64(F.lit(1), template).alias("exact_2"),
-        F.when(general, leaves).alias("leaves"),
-        F.when(general & long, runs).when(general, single).alias("runs"),
+        F.when(F.col("variable"), F.xxhash64(F.lit(1), "raw")).otherwise(F.xxhash64("tokens")).alias("exact"),
+        F.when(F.expr(long), F.xxhash64("n", F.slice("tokens", 1, LEADING))).alias("leaf"),
+        *[F.expr(run.format(long=long, i=i, k=SEGMENTS)).alias(r) for i, r in enumerate(_RUNS)],
+        F.when(F.expr(short), F.transform("tokens", lambda t: F.hash(t))).alias("words"),
     )
 
 
-def _several(doc: str = "doc") -> Column:
-    """Whether a group's rows are of two documents or more."""
-    return F.min(doc) < F.max(doc)
-
-
-def _choices(spark: SparkSession) -> DataFrame:
-    """kind, part, a, b: the runs (b may be null) that a general template leaves out, for lines of ``kind`` tokens (0: long) in the leaf of a part."""
-    rows = [(0, 0, a, b) for a, b in itertools.combinations(range(SEGMENTS), SEGMENTS - CONSTANT)]
+def _short_choices(spark: SparkSession) -> DataFrame:
+    """kind, part, a, b: the tokens (b may be null) that a general template of a line of ``kind`` tokens leaves out in the leaf of a part."""
+    rows = []
     for n in range(SHORT, GENERAL_LEAST):
         for part, (first, last) in enumerate(_parts(n)):
             free = [i for i in range(n) if not first <= i <= last]
             rows += [(n, part, *x) for x in (itertools.combinations(free, 2) if n >= TWO_LEAST else [(i, None) for i in free])]
     values = ", ".join(f"({kind}, {part}, {a}, {'CAST(NULL AS INT)' if b is None else b})" for kind, part, a, b in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, part, a, b)")
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, part, a, b)"))  # some 100 rows
 
 
-def _general(lines: DataFrame) -> DataFrame:
-    """doc, row, pos, n, g, few: the general templates (with the leaf in them) that two documents or more share.
+_RECURS = "a < b AND x < y"
 
-    ``few`` tells those of short lines with fewer than ``SHORT`` constant words. Lines of one exact template
-    need no general one, so leaves and templates of a single one are left out.
-    """
-    some = (_several() & _several("exact_1")).alias("some")
-    parsed = lines.where("leaves is not null").select(F.posexplode("leaves").alias("part", "leaf"), "runs", "exact_1", "doc", "row", "pos", "n")
-    leaves = Cut(parsed.groupBy("leaf").agg(some).where("some").select("leaf"), "leaves")
-    part = lambda i: F.xxhash64(i, F.get("runs", i))
-    word = lambda i: F.coalesce((F.get("runs", i) != F.hash(F.lit("<*>"))).cast("int"), F.lit(0))
-    most = range(GENERAL_LEAST - 1)  # runs that a line hasn't are null, and alike in all lines of the leaf
-    # exclusive or of hashes: what is left out is taken from that of all runs
-    whole = functools.reduce(Column.bitwiseXOR, [part(F.lit(i)) for i in most])
-    words = functools.reduce(Column.__add__, [word(F.lit(i)) for i in most])
-    kind = F.when(F.col("n") < GENERAL_LEAST, F.col("n")).otherwise(0)
-    chosen = parsed.join(leaves.df, "leaf", "left_semi").withColumns({"whole": whole, "words": words, "kind": kind}).join(F.broadcast(_choices(lines.sparkSession)), ["kind", "part"])
-    g = F.xxhash64("leaf", F.col("whole").bitwiseXOR(part(F.col("a"))).bitwiseXOR(part(F.col("b"))))
-    few = (F.col("kind") > 0) & (F.col("words") - word(F.col("a")) - word(F.col("b")) < SHORT)
-    keyed = Cut(chosen.select("doc", "row", "pos", "n", "exact_1", g.alias("g"), few.alias("few")), "chosen")
-    keys = Cut(keyed.df.groupBy("g").agg(some).where("some").select("g"), "keys")
-    return keyed.df.join(keys.df, "g", "left_semi").select("doc", "row", "pos", "n", "g", "few")
-
-
-def _recurring(exact: DataFrame, general: DataFrame, unit: Column) -> DataFrame:
-    """doc, row, pos, n of the lines whose exact or general template recurs, by documents as ``unit`` numbers them.
-
-    Keys that recur are written before they are joined, so that a join can split a very frequent one.
+
+def _several() -> list[Column]:
+    """Of templates that hold a key: the first and last text, and template."""
+    return [F.min("first").alias("a"), F.max("last").alias("b"), F.min("exact").alias("x"), F.max("exact").alias("y")]
+
+
+def _in_leaves(parsed: DataFrame) -> DataFrame:
+    """The rows (leaf, exact, first, last and others) of leaves with several templates in several texts."""
+    leaves = Cut(parsed.groupBy("leaf").agg(*_several()).where(_RECURS).select("leaf"), "leaves")
+    return parsed.join(leaves.df, "leaf", "left_semi")
+
+
+def _general(lines: DataFrame, templates: DataFrame) -> Cut:
+    """g, few, exact, first, last: the general templates (with the leaf in them) of each exact one, if the leaf has others.
+
+    ``few`` tells those with fewer than ``SHORT`` constant words. A key is the exclusive or of its runs' hashes, with their places.
     """
-    exact, general = exact.withColumn("unit", unit), general.withColumn("unit", unit)
-    long, short = exact.where(F.col("n") >= SHORT), exact.where(F.col("n") < SHORT)
-    key = ["exact_1", "exact_2"]
-    several = long.groupBy(*key).agg(_several("unit").alias("some")).where("some").select(*key)
-    # few templates are short: documents of each are told apart before they are counted
-    often = short.select(*key, "unit").distinct().groupBy(*key).count().where(F.col("count") >= SHORT_DOCS).select(*key)
-    exact_keys = Cut(several.union(often), "keys").df
-    several = general.where("not few").groupBy("g").agg(_several("unit").alias("some")).where("some").select("g")
-    often = general.where("few").select("g", "unit").distinct().groupBy("g").count().where(F.col("count") >= SHORT_DOCS).select("g")
-    general_keys = Cut(several.union(often), "keys").df
-    line = ["doc", "row", "pos", "n"]
-    return exact.join(exact_keys, key, "left_semi").select(*line).union(general.join(general_keys, "g", "left_semi").select(*line)).distinct()
-
-
-def _copies(lines: DataFrame, exact: DataFrame, general: DataFrame, total: DataFrame) -> DataFrame:
-    """doc, copy: the copy group of the documents that are in one with a smaller doc_id, named by its smallest.
-
-    Each document is compared with ``LEADERS`` others at most, line by line, so that a passage in very
-    many documents makes no pairs of them.
+    spark, tell = lines.sparkSession, ["exact", "first", "last"]
+    hashed = lambda i, x: F.xxhash64(i, x)
+    choices = f"array({', '.join(f'named_struct({a!r}, {i}, {b!r}, {j})' for a, b in ['ab'] for i, j in itertools.combinations(range(SEGMENTS), SEGMENTS - CONSTANT))})"
+    long = _in_leaves(templates.where("leaf is not null").select("leaf", *tell, *_RUNS))
+    whole = functools.reduce(Column.bitwiseXOR, [hashed(F.lit(i), F.col(r)) for i, r in enumerate(_RUNS)])
+    long = long.select("leaf", *tell, whole.alias("whole"), F.array(*_RUNS).alias("runs"), F.explode(F.expr(choices)).alias("c")).select("*", "c.a", "c.b")
+    words = lines.where("words is not null").groupBy("exact").agg(F.first("words").alias("runs"))
+    of_part = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(part).alias("part"), F.lit(a + 1).alias("at"), F.lit(b - a + 1).alias("size")) for k in range(SHORT, GENERAL_LEAST) for part, (a, b) in enumerate(_parts(k))])
+    short = templates.join(words, "exact").select(*tell, "runs", F.size("runs").alias("kind"), F.explode(of_part).alias("p")).where("p.k = kind")
+    short = short.select(F.xxhash64("kind", "p.part", F.slice("runs", F.col("p.at"), F.col("p.size"))).alias("leaf"), *tell, "runs", "kind", F.col("p.part").alias("part"))
+    constant = lambda x: (x != F.hash(F.lit("<*>"))).cast("int")
+    counted = F.aggregate("runs", F.lit(0), lambda t, x: t + constant(x))
+    folded = F.aggregate(F.transform("runs", lambda x, i: hashed(i, x)), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x))
+    short = _in_leaves(short).withColumns({"whole": folded, "constants": counted}).join(_short_choices(spark), ["kind", "part"])
+    out = lambda c: F.coalesce(hashed(c, F.get("runs", c)), F.lit(0))
+    left = F.when(F.col("b").isNull(), F.lit(0)).otherwise(out(F.col("b")))
+    g = F.xxhash64("leaf", F.col("whole").bitwiseXOR(out(F.col("a"))).bitwiseXOR(left)).alias("g")
+    rest = F.col("constants") - constant(F.get("runs", F.col("a"))) - F.coalesce(constant(F.get("runs", F.col("b"))), F.lit(0))
+    keyed = long.select(g, F.lit(False).alias("few"), *tell).union(short.select(g, (rest < SHORT).alias("few"), *tell))
+    return Cut(keyed, "general")
+
+
+def _recurring(templates: DataFrame, general: DataFrame, often: DataFrame) -> Cut:
+    """exact, leader: the templates that recur, themselves or by a general template, and the first text that holds one.
+
+    Keys that recur are written before they are joined, so that a join can split a very frequent one. ``often`` has
+    the general templates of few words (as g) and short ones (as exact) that are frequent enough.
     """
-    line = ["doc", "row", "pos", "n"]
-    share = _recurring(exact, general, F.col("doc")).groupBy("doc").agg(F.sum("n").alias("again"))
-    mostly = Cut(total.join(share, "doc").where(F.col("again") >= COPY * F.col("all")).select("doc", "all"), "mostly")
-    keyed = exact.select(*line, F.xxhash64("exact_1", "exact_2").alias("key")).union(general.select(*line, F.col("g").alias("key")))
-    keys = Cut(keyed.join(mostly.df.select("doc"), "doc", "left_semi").distinct(), "keys")
-    first = Cut(keys.df.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("key", "leader"), "first")
-    led = keys.df.join(first.df, "key").where("leader < doc").select(*line, "leader").distinct().groupBy("doc", "leader").agg(F.sum("n").alias("k"))
-    best = led.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("k"), "leader"))).where(F.col("rank") <= LEADERS).select("doc", "leader")
-    pairs = Cut(best, "pairs")
-    # the tokens of each in lines whose templates the other has
-    mine = keys.df.join(pairs.df, "doc").select("doc", "leader", "row", "pos", "n", "key")
-    others = keys.df.select(F.col("doc").alias("leader"), F.col("row").alias("o_row"), F.col("pos").alias("o_pos"), F.col("n").alias("o_n"), "key").join(pairs.df, "leader")
-    by_mine = mine.join(others.select("doc", "leader", "key").distinct(), ["doc", "leader", "key"], "left_semi").select("doc", "leader", "row", "pos", "n").distinct()
-    by_others = others.join(mine.select("doc", "leader", "key").distinct(), ["doc", "leader", "key"], "left_semi").select("doc", "leader", "o_row", "o_pos", "o_n").distinct()
-    both = by_mine.groupBy("doc", "leader").agg(F.sum("n").alias("k")).join(by_others.groupBy("doc", "leader").agg(F.sum("o_n").alias("o_k")), ["doc", "leader"])
-    alike = both.join(mostly.df, "doc").join(mostly.df.select(F.col("doc").alias("leader"), F.col("all").alias("o_all")), "leader")
-    alike = alike.where((F.col("k") >= SAME * F.col("all")) & (F.col("o_k") >= SAME * F.col("o_all"))).select("doc", "leader")
-    texts = lines.select("doc", "row").distinct()
-    # a document with several rows is of no one text
-    texts = texts.join(texts.groupBy("doc").agg(F.max("row").alias("row"), F.min("row").alias("least")).where("least = row").select("doc", "row"), ["doc", "row"], "left_semi")
-    whole = texts.join(texts.groupBy("row").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("row", "leader"), "row").where("leader < doc").select("doc", "leader")
-    group = Cut(whole.union(alike).groupBy("doc").agg(F.min("leader").alias("copy")), "copies")
-    while True:  # a leader's leader is the group's, as far up as there is one
-        up = group.df.select(F.col("doc").alias("copy"), F.col("copy").alias("up"))
-        higher = group.df.join(up, "copy", "left")
-        if not higher.where("up is not null").limit(1).count():
-            return group.df
-        group = Cut(higher.select("doc", F.coalesce("up", "copy").alias("copy")), "copies")
-
-
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc, row, drop: the numbers (from 0) of the lines that each text loses."""
+    keys = general.where("NOT few").groupBy("g").agg(*_several()).where(_RECURS).select("g", F.col("a").alias("leader"))
+    few = general.where("few").groupBy("g").agg(*_several()).where(_RECURS).join(often, "g", "left_semi").select("g", F.col("a").alias("leader"))
+    keys = Cut(keys.union(few), "keys")
+    by_general = general.join(keys.df, "g").select("exact", "leader")
+    long = templates.where(f"n >= {SHORT} AND first < last").select("exact", F.col("first").alias("leader"))
+    short = templates.where(f"n < {SHORT} AND first < last").join(often, F.col("exact") == F.col("g"), "left_semi").select("exact", F.col("first").alias("leader"))
+    out = Cut(by_general.union(long).union(short).groupBy("exact").agg(F.min("leader").alias("leader")), "recurring")
+    keys.drop()
+    return out
+
+
+def _often(lines: DataFrame, general: DataFrame, least: float) -> Cut:
+    """g: short templates, and general ones of few words, that stand in ``least`` texts or more, each counted once."""
+    short = lines.where(F.col("n") < SHORT).select(F.col("exact").alias("g"), "row")
+    few = general.where("few").select("g", "exact").join(lines.where("words is not null").select("exact", "row").distinct(), "exact").select("g", "row")
+    counts = short.union(few).distinct().groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    return Cut(counts.where((F.col("k") >= 2) & (F.col("k") >= least)).select("g"), "often")
+
+
+def recurring_lines(docs: DataFrame) -> Cut:
+    """row, drop: the numbers (from 0) of the lines that each text loses; row is the text's hash."""
     lines = Cut(_lines(docs), "lines")
-    key = ["exact_1", "exact_2"]
-    # lines that occur once can't recur; only the others go on
-    again = Cut(lines.df.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key), "keys")
-    exact = Cut(lines.df.select("doc", "row", "pos", "n", *key).join(again.df, key, "left_semi"), "exact")
-    general = Cut(_general(lines.df), "general")
-    total = Cut(lines.df.groupBy("doc").agg(F.sum("n").alias("all")), "totals")
-    again.drop()
-    copies = _copies(lines.df, exact.df, general.df, total.df)
-    lines.drop()
-    lost = _recurring(exact.df.join(copies, "doc", "left"), general.df.join(copies, "doc", "left"), F.coalesce("copy", "doc"))
-    return lost.groupBy("doc", "row").agg(F.collect_list("pos").alias("drop"))
+    some = lines.df.where("n > 0")
+    same = [F.first(c).alias(c) for c in ["n", "leaf", *_RUNS]]
+    templates = Cut(some.groupBy("exact").agg(*same, F.min("row").alias("first"), F.max("row").alias("last")), "templates")
+    general = _general(some, templates.df)
+    texts = Cut(some.groupBy("row").agg(F.sum("n").alias("all")), "texts")
+    often = _often(some, general.df, SHORT_SHARE * texts.df.count())
+    recurring = _recurring(templates.df, general.df, often.df)
+    # copies of a text have each of its lines as often as the text, so shares are those of one
+    again = Cut(some.select("exact", "row", "pos", "n").join(recurring.df, "exact"), "again")
+    led = again.df.groupBy("row", "leader").agg(F.sum("n").alias("k")).groupBy("row").agg(F.max(F.struct("k", "leader")).alias("most"))
+    copies = Cut(led.join(texts.df, "row").where((F.col("most.k") >= SAME * F.col("all")) & (F.col("most.leader") != F.col("row"))).select("row", F.col("most.leader").alias("unit")), "copies")
+    # once more, with near copies as the document they are copies of
+    units = again.df.select("exact", "row").distinct().join(copies.df, "row", "left").select("exact", F.coalesce("unit", "row").alias("unit"))
+    held = Cut(units.groupBy("exact").agg(F.min("unit").alias("first"), F.max("unit").alias("last")), "held")
+    by_unit = templates.df.select("exact", "n").join(held.df, "exact")
+    general_by_unit = Cut(general.df.select("g", "few", "exact").join(held.df, "exact"), "general")
+    gone = _recurring(by_unit, general_by_unit.df, often.df)
+    lost = again.df.join(gone.df.select("exact"), "exact", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
+    out = Cut(lost, "lost")
+    for cut in (lines, templates, general, texts, often, recurring, again, copies, held, general_by_unit, gone):
+        cut.drop()
+    return out
 
 
 def drop_recurring(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """The documents with ``text`` less its recurring lines, and two counts under the given names; other columns as they were."""
-    lost = Cut(recurring_lines(docs), "lost").df.withColumnsRenamed({"doc": "__doc", "row": "__row", "drop": "__drop"})
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "__row": F.xxhash64("text")})
+    lost = recurring_lines(docs).df.withColumnsRenamed({"row": "__row", "drop": "__drop"})
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
-    out = keyed.join(lost, ["__doc", "__row"], "left").withColumns(
+    text: Column = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
+    # the small side is hashed, so that texts need not be sorted
+    out = keyed.join(lost.hint("shuffle_hash"), "__row", "left").withColumns(
         {"__text": text, "__n": F.when(F.col("text").isNotNull(), F.size(lines)), "__k": F.when(F.col("text").isNotNull(), F.coalesce(F.size("__drop"), F.lit(0)))}
     )
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias(n_lines), F.col("__k").alias(n_dropped))
