@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -280,7 +281,10 @@ def test_shard_store(spark, odd, empty, tmp_path):
     old = store.read(before[-1]).count()
     assert old == 5 * odd.count()
     last = store.compact()
-    assert store.versions() == [last] and len(store.runs()) < 5
+    assert store.versions()[-1] == last and len(store.runs()) < 5
+    assert store.read(before[-1]).count() == old  # compaction deletes nothing
+    store.vacuum(-10)
+    assert store.versions() == [last]
     key = lambda df: collections.Counter(map(str, df.select("doc_id", "text").collect()))
     assert key(store.read()) == collections.Counter({k: 5 * n for k, n in key(odd).items()})
     with pytest.raises(sharding.Conflict):
@@ -291,6 +295,30 @@ def test_shard_store(spark, odd, empty, tmp_path):
 
 
 # -- 6 ---------------------------------------------------------------------------------------------
+def test_shard_store_loses_nothing(spark, odd, tmp_path):
+    """An append beside a compaction, writers that die after each step of a commit, old versions, vacuum."""
+    rows = odd.where("doc_id < 3").drop(*CLASH)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", rows.schema, fan_in=2, claim_seconds=0.2)
+    first = store.append(rows)
+    store.append(rows)
+    late = "late"  # written, but not yet committed, while the compaction runs
+    rows.write.parquet(f"{store.root}/runs/{late}")
+    before = store.runs()
+    assert store.compact() == 3 and [r.merges for r in store.runs()] == [1] and store.read().count() == 6
+    store.vacuum()
+    assert store.read(first).count() == 3 and store.read(2).count() == 6  # all is younger than the grace period
+    assert store._add([late]) == 4 and store.read().count() == 9
+    store._replace({r.name for r in before}, before[0])  # a slower compaction of the same runs
+    assert store._latest() == 4 and store.read().count() == 9
+    # a writer that died after its claim, and one that died before its rename
+    store.fs.create(store._path("manifest", "v0000000005.claim"), False).close()
+    store.fs.create(store._path("manifest", ".side"), False).close()
+    assert store.append(rows) == 5 and store.read().count() == 12
+    store.vacuum(-10)
+    assert store.versions() == [5] and store.read().count() == 12
+    assert len(os.listdir(tmp_path / "s" / "runs")) == len(store.runs())
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(8)
     rows = [(k, words(rng, rng.randrange(1, 120)), "en", rng.choice(["a", "b", "c", "d", None]), 1) for k in range(600)] + [(9999, None, "en", "z", 0)]
