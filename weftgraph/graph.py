@@ -149,14 +149,17 @@ class PropertyGraph:
 
     # -- at rest -----------------------------------------------------------------------------------
     def save(self, path: str) -> None:
-        """Parquet; edges in a folder for each pair of labels, so that a relation reads its folder only."""
+        """Parquet; edges in a folder for each pair of labels, so that a relation reads its folder only.
+
+        The rows of a pair of labels go together, and those of a large one are split among files of about even size.
+        """
         self.vertices.write.parquet(f"{path}/vertices")
-        self.edges.repartition("sl", "dl", F.pmod(F.xxhash64("src"), F.lit(16))).write.partitionBy("sl", "dl").parquet(f"{path}/edges")
+        self.edges.hint("rebalance", "sl", "dl").write.partitionBy("sl", "dl").parquet(f"{path}/edges")
 
     @classmethod
     def load(cls, spark, path: str) -> PropertyGraph:
-        e = spark.read.parquet(f"{path}/edges").select("src", "dst", F.col("sl").cast("int").alias("sl"), F.col("dl").cast("int").alias("dl"))
-        return cls(spark.read.parquet(f"{path}/vertices"), e)
+        e = spark.read.schema("src long, dst long, sl int, dl int").parquet(f"{path}/edges")
+        return cls(spark.read.schema("vid long, label int").parquet(f"{path}/vertices"), e)
 
 
 def both_ways(once: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import PropertyGraph
+from weftgraph.graph import PropertyGraph, both_ways
+from weftgraph.store import exists, shared_dir
 
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER = range(6)
 #: A vertex number is its label times this, plus its key.
@@ -39,22 +41,55 @@ def _vid(key: str, label: int):
     return (F.lit(label * STEP) + F.col(key).cast("bigint")).cast("bigint")
 
 
+def _tables(spark: SparkSession, sf_dir: str):
+    keys: dict[str, set[str]] = {}
+    for t, *columns in [(t, k) for t, k, _ in _VERTICES] + [(t, a, b) for t, a, _, b, _ in _EDGES]:
+        keys.setdefault(t, set()).update(columns)
+    # with the schema of the keys at hand, no job looks into the files before the query runs
+    return {t: spark.read.schema(", ".join(f"{c} {'int' if c in _INTS else 'bigint'}" for c in sorted(cs))).parquet(f"{sf_dir}/{t}.parquet") for t, cs in keys.items()}
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[tuple[DataFrame, int, int]]]:
+    """The vertices of each table; src, dst of each kind of edge, once, with the labels of its ends."""
+    tables = _tables(spark, sf_dir)
+    vertices = [tables[t].select(_vid(k, x).alias("vid"), F.lit(x).alias("label")) for t, k, x in _VERTICES]
+    edges = []
+    for t, a, x, b, y in _EDGES:
+        pairs = tables[t].where(F.col(a).isNotNull() & F.col(b).isNotNull())
+        edges.append((pairs.select(_vid(a, x).alias("src"), _vid(b, y).alias("dst")).distinct(), x, y))
+    return vertices, edges
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph of the tables in a folder.
 
     Each kind of edge is a branch of a union with literal labels, so that the scan of a relation is
     pruned to its own table and two columns.
     """
-    keys: dict[str, set[str]] = {}
-    for t, *columns in [(t, k) for t, k, _ in _VERTICES] + [(t, a, b) for t, a, _, b, _ in _EDGES]:
-        keys.setdefault(t, set()).update(columns)
-    # with the schema of the keys at hand, no job looks into the files before the query runs
-    tables = {t: spark.read.schema(", ".join(f"{c} {'int' if c in _INTS else 'bigint'}" for c in sorted(cs))).parquet(f"{sf_dir}/{t}.parquet") for t, cs in keys.items()}
-    read = tables.__getitem__
-    vertices = [read(t).select(_vid(k, x).alias("vid"), F.lit(x).alias("label")) for t, k, x in _VERTICES]
+    vertices, once = _parts(spark, sf_dir)
     edges: list[DataFrame] = []
-    for t, a, x, b, y in _EDGES:
-        once = read(t).where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(_vid(a, x).alias("src"), _vid(b, y).alias("dst")).distinct()
-        edges.append(once.select("src", "dst", F.lit(x).alias("sl"), F.lit(y).alias("dl")))
-        edges.append(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(y).alias("sl"), F.lit(x).alias("dl")))
+    for pairs, x, y in once:
+        edges.append(pairs.select("src", "dst", F.lit(x).alias("sl"), F.lit(y).alias("dl")))
+        edges.append(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(y).alias("sl"), F.lit(x).alias("dl")))
     return PropertyGraph(reduce(DataFrame.union, vertices), reduce(DataFrame.union, edges))
+
+
+#: Folders of stored graphs, by Spark application and folder of tables.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of the tables in a folder, written to the shared folder once in a Spark application and read from there.
+
+    Relations are read as they are stored, distinct and by pair of labels, in place of a distinct over lineitem in every query.
+    Tables that change while the application runs are not read again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _stored.get(key)
+    if path is None or not exists(spark, f"{path}/edges/_SUCCESS"):
+        vertices, once = _parts(spark, sf_dir)
+        edges = reduce(DataFrame.union, [pairs.select("src", "dst", F.lit(x).alias("sl"), F.lit(y).alias("dl")) for pairs, x, y in once])
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        PropertyGraph(reduce(DataFrame.union, vertices), both_ways(edges)).save(path)
+        _stored[key] = path
+    return PropertyGraph.load(spark, path)
