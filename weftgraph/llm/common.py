@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -46,6 +47,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system, for the tasks that use the worker next."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 class Cut:
     """A table written to the shared folder: it cuts the lineage and survives lost executors."""
 

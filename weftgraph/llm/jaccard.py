@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sketch
-from weftgraph.llm.common import Cut
+from weftgraph.llm.common import Cut, give_back
 
 #: Bound of the list of frequent shingles that all tasks get (8 bytes each), and of what a task tells of its own.
 FREQUENT, FREQUENT_OF_TASK, LEAST_FREQUENT = 1 << 19, 1 << 16, 8
@@ -72,7 +72,7 @@ class _Words(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
@@ -100,11 +100,14 @@ def shingles(text: str | None, rule: Rule) -> np.ndarray:
     return np.unique(h)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[list, list]]:
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Rows in small numbers, and their texts, the last column; in the end the worker's memory of words goes."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             part = batch.slice(k, rows)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield part, part.column(part.num_columns - 1).to_pylist()
+    _words.clear()
+    give_back()
 
 
 def frequent(docs: DataFrame, rule: Rule) -> np.ndarray:
@@ -159,7 +162,7 @@ def frequent(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2, anchors, parity of every document.
+    """doc_id, t (the text's hash), n, f1, f2, anchors, parity of every document.
 
     ``parity``: of n bits or more (a power of two), each the parity of the shingles that fall on it; two
     sets differ in at least as many shingles as their parities in bits. A task gives a class's
@@ -171,7 +174,7 @@ def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
     def run(batches):
         last = shared.value
         seen: set[int] = set()
-        for ids, texts in _texts(batches):
+        for rows, texts in _texts(batches):
             ns, f1s, f2s, anchors, parities = [], [], [], [], []
             for t in texts:
                 s = shingles(t, rule)
@@ -193,12 +196,11 @@ def signatures(docs: DataFrame, rule: Rule, late: np.ndarray) -> DataFrame:
                     s = np.concatenate([s[~is_late], s[is_late]])
                 anchors.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa_kind), pa.array(ns, pa.int64()), pa.array(f1s, pa.int64()), pa.array(f2s, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f1", "f2", "anchors", "parity"],
+                [rows.column(0), rows.column(1), pa.array(ns, pa.int64()), pa.array(f1s, pa.int64()), pa.array(f2s, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                names=["doc_id", "t", "n", "f1", "f2", "anchors", "parity"],
             )
 
-    pa_kind = pa.int32() if kind == "int" else pa.int64()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, anchors array<long>, parity array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, n long, f1 long, f2 long, anchors array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -244,7 +246,7 @@ def components(edges: DataFrame) -> Cut:
 
 
 # -- the join --------------------------------------------------------------------------------------
-#: Documents up to which their numbers may be broadcast (8 bytes each) to pick their texts.
+#: Documents up to which their numbers and hashes may be broadcast (16 bytes each) to pick their texts.
 BROADCAST_IDS = 1 << 20
 
 
@@ -271,9 +273,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule)
 
     Sets are made anew of the texts of the pairs' documents, one for each class.
     """
-    ids = pairs.select(F.explode(F.array("x", "p")).alias("f1")).distinct().join(classes.select("f1", "rep"), "f1").select(F.col("rep").alias("doc_id"))
+    ids = pairs.select(F.explode(F.array("x", "p")).alias("f1")).distinct().join(classes.select("f1", "first"), "f1").select(F.col("first.doc_id").alias("i"), F.col("first.t").alias("t"))
     few = pairs.count() * 2 <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    texts = hashed.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("t")), "left_semi")
     sets = Cut(shingle_sets(texts, rule), "sets")
     a = sets.df.select(F.col("f1").alias("x"), F.col("s").alias("a"))
     b = sets.df.select(F.col("f1").alias("p"), F.col("s").alias("b"))
@@ -283,24 +286,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule)
     return out
 
 
-def join(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; component_id is the component's smallest doc_id."""
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t, n, f1 of every document; f1, root, rep, first of every class.
+
+    rep is the class's smallest doc_id, first its first row: the smallest doc_id (null only if there is no other), the smallest hash of a text.
+    """
     while True:
         late = frequent(docs, rule)
         sig = Cut(signatures(docs, rule, late), "signatures")
-        classes = Cut(sig.df.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.min("f2").alias("lo"), F.max("f2").alias("hi"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity")), "classes")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+        classes = Cut(sig.df.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), first, F.min("f2").alias("lo"), F.max("f2").alias("hi"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity")), "classes")
         if classes.df.where("lo <> hi").isEmpty():
             break
         sig.drop(), classes.drop()
         rule = Rule(rule.words, rule.percent, rule.seed + 1)
     roots = _class_roots(docs, rule, sig.df, classes.df)
-    smallest = classes.df.select("f1", "rep")
-    if roots is not None:
-        of = classes.df.join(roots.df.withColumnsRenamed({"u": "f1", "v": "root"}), "f1", "left").select("f1", "rep", F.coalesce("root", "f1").alias("root"))
-        linked = of.groupBy("root").agg(F.min("rep").alias("least"))
-        smallest = of.join(linked, "root").select("f1", F.col("least").alias("rep"))
-    out = sig.df.select("doc_id", "n", "f1").join(smallest, "f1", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = classes.df.select("f1", "rep", "first")
+    if roots is None:
+        of = of.withColumn("root", F.col("f1"))
+    else:
+        of = of.join(roots.df.withColumnsRenamed({"u": "f1", "v": "root"}), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    return sig.df.select("doc_id", "t", "n", "f1"), of
+
+
+def join(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; component_id is the component's smallest doc_id."""
+    rows, of = _grouped(docs, rule)
+    linked = of.groupBy("root").agg(F.min("rep").alias("least"))
+    out = rows.join(of.join(linked, "root").select("f1", "least"), "f1", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _class_roots(docs: DataFrame, rule: Rule, sig: DataFrame, classes: DataFrame) -> Cut | None:
@@ -353,16 +367,21 @@ def _class_roots(docs: DataFrame, rule: Rule, sig: DataFrame, classes: DataFrame
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns.
+    """The documents that are the first of their component, with all their columns.
 
-    Of repeated rows (one doc_id, one text) one stays; rows of one doc_id with texts that differ are
-    told apart only if they are in different components.
+    A document is a doc_id with a text: rows of one doc_id with texts that differ are judged each by its own
+    component, rows without a doc_id by their texts; the first of a component has its smallest doc_id, then the
+    smallest hash of a text. Documents without words all stay. Of repeated rows (one doc_id, one text) one stays.
     """
-    found = Cut(join(docs, rule), "kept").df
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    repeated = found.groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    rows, of = _grouped(docs, rule)
+    first = of.groupBy("root").agg(F.min("first").alias("stays"))
+    known = Cut(rows.where("n > 0").join(of.join(first, "root").select("f1", "stays"), "f1").select("doc_id", "t", "stays"), "known").df
+    other = known.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("t") == F.col("stays.t"))))
+    gone = other.select(F.col("doc_id").alias("__gone"), F.col("t").alias("__t")).distinct()
+    here = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__t"))
+    kept = docs.join(gone, here, "left_anti")
+    repeated = rows.groupBy(F.col("doc_id").alias("__again"), F.col("t").alias("__t")).count().where("count > 1").select("__again", "__t")
     if repeated.isEmpty():
         return kept
-    again = kept["doc_id"].eqNullSafe(repeated["__again"])
+    again = kept["doc_id"].eqNullSafe(F.col("__again")) & (F.xxhash64(kept["text"]) == F.col("__t"))
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
