@@ -403,6 +403,16 @@ def test_jaccard_join_of_odd_rows(odd, empty):
 
 
 # -- 8 ---------------------------------------------------------------------------------------------
+def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (None, d), (None, d + " tail"), (None, a), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df, jaccard.Rule()).collect()), key=str)
+    assert [x for x in kept if x[0] is not None] == sorted([(1, a), (5, b), (7, c), (8, "")], key=str)
+    assert len([x for x in kept if x[0] is None]) == 1 and kept[-1][1] in (d, d + " tail")
+
+
 def test_bpe_is_tiktokens(spark, odd, empty):
     codec = bpe.Codec(RANKS, PATTERN)
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
@@ -419,6 +429,27 @@ def test_bpe_is_tiktokens(spark, odd, empty):
 
 
 # -- 9 ---------------------------------------------------------------------------------------------
+def test_bpe_rules_and_cuts_are_equal(monkeypatch):
+    """The rule of long words gives the tokens of the other; what is forgotten, and where texts are cut, bears on nothing."""
+    rng = random.Random(4)
+    parts = ["a", "aa", "ab", "the", "é", "漢", "1", "#", "\U0001f600"]
+    long_words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    spaces = [" ", "  ", "\n", "\t ", "\xa0", "\u2003", "\x1c", "\x85", " 's", "\r\n"]
+    texts = ["".join(rng.choice([*parts, *spaces]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    plain = bpe.Codec(RANKS, PATTERN)
+    short = [plain.encode_words([w])[0].tolist() for w in long_words]
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert short == [plain.encode_words([w])[0].tolist() for w in long_words]
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    cut = bpe.Codec(RANKS, PATTERN)
+    cut.units.most = cut.words.most = 20
+    assert cut.cuttable
+    ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain.ranks, special_tokens={})
+    ids, decoded = cut.encode_decode(texts)
+    assert ids == [np.array(ranks.encode_ordinary(t), "<u4").tobytes() for t in texts] and decoded == [t.encode() for t in texts]
+
+
 def test_fingerprints(spark, odd, empty):
     rng = random.Random(11)
     for n in (1, 2, 5, 40, 400, 5000):
