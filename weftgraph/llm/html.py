@@ -4,10 +4,13 @@ The standard library's parser feeds events. Block elements end lines; each line
 number of tags and its place in the tree. Lines within menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are out. The ratio of text to tags of the other lines is
 smoothed with a Gaussian; lines over the threshold (the ratios' standard deviation, or their largest
-value if that is smaller) are the content's core. The region is the article or main element that holds
-most of the core's text, or else the innermost element that holds all of it and is no mere part of a
-text, as sections, lists and tables are; all its lines that are not out are the result, so that short
-paragraphs between long ones stay.
+value if that is smaller) are the content's core. The regions are the article and main elements with
+core; one whose core lies wholly in such elements within it gives way to them. Of these, the ones stay
+of whose text at least half is core (if none is so, the one with the most core), so that several
+articles are all kept and lists of links or teasers that are marked as articles aren't. On a page
+without such elements, the region is the innermost element that holds all of the core and is no mere
+part of a text, as sections, lists and tables are. All lines of the regions that are not out are the
+result, in page order, so that short paragraphs between long ones stay.
 
 A null or empty page, or one without text outside of what is out, gives the empty string. Very long
 pages are parsed in pieces and whole. Repeated rows give repeated results; ties between elements go
@@ -182,28 +185,40 @@ def ratios(lines: list[tuple[str, int, int]]) -> list[float]:
     return out
 
 
-def region(parser: Lines) -> int:
-    """The element whose lines are the content."""
-    lines = parser.lines
-    smooth = ratios(lines)
+def threshold_of(smooth: list[float]) -> float:
+    """What parts content lines from others: the ratios' standard deviation, or their largest value if that is smaller."""
     mean = sum(smooth) / len(smooth)
-    threshold = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
-    core = [0] * len(parser.parent)
-    first = [len(lines)] * len(parser.parent)
-    total = 0
-    for i, ((text, _, element), x) in enumerate(zip(lines, smooth)):
-        if x >= threshold:
-            total += len(text)
-            while element >= 0:
-                core[element] += len(text)
-                first[element] = min(first[element], i)
-                element = parser.parent[element]
-    named = [e for e in range(len(core)) if parser.tags[e] in ("article", "main") and core[e] > 0]
-    if named:
-        best = max(named, key=lambda e: (core[e], e))  # the inner one, if all of the outer one's core is in it
-        return best
-    inner = [e for e in range(len(core)) if core[e] == total and parser.tags[e] not in PARTS]
-    return max(inner, default=0)
+    return min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
+
+
+def regions(parser: Lines) -> list[int]:
+    """The elements whose lines are the content, in page order; none holds another."""
+    smooth = ratios(parser.lines)
+    threshold = threshold_of(smooth)
+    core, text_of = [0] * len(parser.parent), [0] * len(parser.parent)
+    for (text, _, element), x in zip(parser.lines, smooth):
+        core[element] += len(text) if x >= threshold else 0
+        text_of[element] += len(text)
+    for e in range(len(core) - 1, 0, -1):  # children come after their parents
+        core[parser.parent[e]] += core[e]
+        text_of[parser.parent[e]] += text_of[e]
+    named: list[list[int]] = [[] for _ in core]  # the nearest article and main elements with core under each named one; under 0, the outermost
+    over = [0] * len(core)
+    for e in range(1, len(core)):
+        over[e] = over[parser.parent[e]]
+        if parser.tags[e] in ("article", "main") and core[e]:
+            named[over[e]].append(e)
+            over[e] = e
+    found, open_ = [], named[0][::-1]
+    while open_:
+        e = open_.pop()
+        if named[e] and sum(core[c] for c in named[e]) == core[e]:
+            open_.extend(reversed(named[e]))
+        else:
+            found.append(e)
+    if found:
+        return [e for e in found if core[e] * 2 >= text_of[e]] or [max(found, key=core.__getitem__)]
+    return [max((e for e in range(len(core)) if core[e] == core[0] and parser.tags[e] not in PARTS), default=0)]
 
 
 def extract(html: str | None) -> str:
@@ -216,10 +231,10 @@ def extract(html: str | None) -> str:
     parser.end_line()
     if not parser.lines:
         return ""
-    at = region(parser)
+    at = set(regions(parser))
     inside = [False] * len(parser.parent)
     for e in range(len(inside)):  # parents come before their children
-        inside[e] = e == at or (parser.parent[e] >= 0 and inside[parser.parent[e]])
+        inside[e] = e in at or (parser.parent[e] >= 0 and inside[parser.parent[e]])
     return " ".join([text for text, _, element in parser.lines if inside[element]])
 
 
