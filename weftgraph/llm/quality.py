@@ -6,9 +6,11 @@ sketches, one for each language, source and rate. A rate's upper fence is its th
 with it; so the fence is never below the language's median plus ``SPREAD`` times the distance of its
 ``TAIL`` quantile. This floor is at most the rate's ``LEAST`` value, since junk may be in the tail, and
 that value itself where the tail is at the median, so that equal documents don't reject ordinary
-variation. The mean word length has a lower fence too. A group of fewer than ``GROUP_LEAST`` documents takes the fences of its language, a language of
-fewer those of all documents (the same sketches, merged). A document is kept if it doesn't fail the
-base rules and every rate is within the fences of its language and source.
+variation. The mean word length has a lower fence too. Fences shrink: those of n documents are averaged
+with those of the next wider group (language and source, language, all documents: the same sketches,
+merged), which weigh as much as ``PRIOR`` documents. So a small group mostly takes its language's
+fences, a large one its own, without a size at which that turns. A document is kept if it doesn't fail
+the base rules and every rate is within the fences of its language and source.
 
 Null texts count as empty and fail the base rules; null languages and sources are groups of their
 own. Very long texts are read whole. Repeated rows are judged each; ties don't matter, since fences
@@ -31,7 +33,8 @@ from weftgraph.llm.common import Cut
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREAD = 3
-GROUP_LEAST = 200
+#: Documents as much as which the wider group's fences weigh.
+PRIOR = 200
 TAIL = 0.99
 #: Per 1000 words (or lines, or characters): the floor of the fence is at most this.
 LEAST = {"symbols": 100, "dup_lines": 500, "repeats": 400, "capitals": 300, "marks": 150, "word_chars": 10_000}
@@ -132,7 +135,7 @@ def fences(counts: DataFrame) -> DataFrame:
         pick = lambda m, c: F.max(F.when(F.col("metric") == m, c))
         cells = [pick(m, high).alias(f"high_{m}") for m in LEAST] + [pick("word_chars", F.least(low, F.lit(MOST_SHORT))).alias("low_word_chars")] + [pick(m, floor).alias(f"floor_{m}") for m in LEAST]
         out = q.groupBy(*keys).agg(F.max("n").alias("n"), *cells)
-        return out.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.when(F.col("n") >= (GROUP_LEAST if keys else 0), F.struct(*names)).alias(name))
+        return out.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct("n", *names).alias(name))
 
     lang = sketch.merge(by_group, ["lang"])
     groups = counts.select("lang", "source").distinct()
@@ -142,9 +145,16 @@ def fences(counts: DataFrame) -> DataFrame:
         .join(one, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
         .join(F.broadcast(everything), F.lit(True), "left")  # one row
     )
-    own, tail = F.coalesce("g", "l", "a"), F.coalesce("l", "a")
-    highs = [F.greatest(own[f"high_{m}"], tail[f"floor_{m}"]).alias(f"high_{m}") for m in LEAST]
-    return joined.select("lang", "source", F.struct(*highs, own["low_word_chars"].alias("low_word_chars")).alias("fence"))
+
+    def shrunk(name: str, *levels: str) -> Column:
+        out = F.col(f"a.{name}")
+        for level in levels:
+            n = F.coalesce(F.col(f"{level}.n"), F.lit(0))
+            out = (n * F.coalesce(F.col(f"{level}.{name}"), F.lit(0)) + PRIOR * out) / (n + PRIOR)
+        return out
+
+    highs = [F.greatest(shrunk(f"high_{m}", "l", "g"), shrunk(f"floor_{m}", "l")).alias(f"high_{m}") for m in LEAST]
+    return joined.select("lang", "source", F.struct(*highs, shrunk("low_word_chars", "l", "g").alias("low_word_chars")).alias("fence"))
 
 
 def within() -> Column:
