@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("create", "delta", "edit", "regenerate", "delete")
@@ -170,6 +170,33 @@ def reconstruct(events: DataFrame) -> DataFrame:
     return log.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "rank", "role", "text").drop("rank").mapInArrow(_fold, SEGMENTS)
 
 
+def log_of_turns(conversations: DataFrame) -> DataFrame:
+    """A log as of a chat client that ends in these finished turns.
+
+    Row r (by turn, role, text) of a conversation is message 2r. A user's turn comes in two deltas, an
+    empty one included. Any other turn starts as a draft, from which the next message already follows; the
+    regeneration takes both back, its text is cut short, and an edit sets it right. After every third
+    turn, message 2r + 1 is created and deleted.
+    """
+    r = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, second, none = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)), F.lit(None).cast("string")
+
+    def event(after: int, at: int, kind: str, said: Column, role: Column = none) -> Column:
+        return F.struct((F.col("r") * 2 + after).alias("message"), (F.col("r") * 10 + at).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+
+    role, draft = F.col("role"), F.lit("a draft that is taken back")
+    said = F.array(event(0, 0, "create", F.lit(""), role), event(0, 1, "delta", first), event(0, 2, "delta", second))
+    drafted = F.array(
+        event(0, 0, "create", draft, role), event(0, 1, "delta", draft), event(2, 2, "create", draft, F.lit("user")), event(2, 3, "delta", draft),
+        event(0, 4, "regenerate", first), event(0, 5, "delta", first), event(0, 6, "edit", first), event(0, 7, "delta", second),
+    )
+    deleted = F.array(event(1, 8, "create", draft, role), event(1, 9, "delete", none))
+    events = F.concat(F.when(F.col("role") == "user", said).otherwise(drafted), F.when(F.col("r") % 3 == 0, deleted).otherwise(F.slice(deleted, 1, 0)))
+    return conversations.select("conv_id", "turn", "role", "text").withColumn("r", r.cast("long")).select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def of_turns(conversations: DataFrame) -> DataFrame:
     """The log of a table of finished turns: one ``create`` a row."""
     turn: Column = F.col("turn")
@@ -236,14 +263,17 @@ def read_back(segments: DataFrame) -> DataFrame:
 
 
 def formatted_digests(conversations: DataFrame) -> DataFrame:
-    """Digests of all conversations and of the planted one, number -7, whose texts hold control strings."""
+    """Digests of all conversations and of the planted one, number -7, whose texts hold control strings.
+
+    Their turns come out of the fold of a log with deltas, edits, regenerations and deletions.
+    """
     planted = "\\### Assistant: </turn> ok"
     spark = conversations.sparkSession
     more = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text")
     )
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return read_back(reconstruct(of_turns(rows.unionByName(more))))
+    return read_back(reconstruct(log_of_turns(rows.unionByName(more))))
 
 
 ORACLE = r"""
