@@ -5,7 +5,7 @@ Targets: sources, in code point order with null last, weigh 3, 1, 2 and so on; t
 the others by weight.
 
 Blocks: a hash permutes each source's documents, and ranges of the hash cut it into up to ``BLOCKS``
-blocks. A source's quota is the exact number of block draws whose words come nearest its target:
+blocks, or more, of ``BLOCK_DOCS`` documents on average, in a source of more. A source's quota is the exact number of block draws whose words come nearest its target:
 whole passes over its blocks, then the first blocks of the permutation that fit, then the few blocks that
 fill the rest best. A block is drawn at most ``MOST`` times.
 
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import WORD, Cut
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
-#: Blocks of a source at most; a block holds one document or so in small sources.
-BLOCKS = 4096
+#: Blocks of a source; a block holds one document or so in small sources, and about ``BLOCK_DOCS`` in large ones.
+BLOCKS, BLOCK_DOCS = 4096, 1 << 14
 #: Blocks that fill what the first blocks of the permutation leave of a target: each the largest that fits, the last the nearest.
 FILLS = 4
-#: Words in a shard, about, and shards at most.
-SHARD_WORDS, MOST_SHARDS = 1 << 24, 1024
+#: Words in a shard, about.
+SHARD_WORDS = 1 << 24
 #: Rows of the draws' table up to which it may be broadcast (24 bytes each).
 BROADCAST_ROWS = 1 << 19
 
@@ -76,13 +76,13 @@ def _block(h: Column, blocks: Column) -> Column:
 
 
 def _blocks_of(docs: Column) -> Column:
-    return F.least(F.greatest(docs, F.lit(1)), F.lit(BLOCKS))
+    return F.least(F.greatest(docs, F.lit(1)), F.greatest(F.lit(BLOCKS), F.ceil(docs / BLOCK_DOCS)))
 
 
 def _quotas(sized: DataFrame, aims: DataFrame) -> DataFrame:
     """s, block, words, place, passes, quota: the blocks in the order in which they are drawn.
 
-    At most ``BLOCKS`` rows for each source.
+    A source's windows run over one row for each of its blocks.
     """
     blocks = sized.groupBy("s", "block").agg(F.sum("size").alias("words"))
     part = F.col("target") - F.col("passes") * F.col("source_size")
@@ -162,7 +162,7 @@ class Plan:
         sized = self.sized(self.rows)
         quotas = Cut(_quotas(sized, self.aims), "quotas").df
         self.sources, words = self.aims.agg(F.count(F.lit(1)), F.sum("target")).first()
-        self.shards = min(MOST_SHARDS, 1 << max(0, math.ceil((words or 0) / shard_words) - 1).bit_length())
+        self.shards = 1 << max(0, math.ceil((words or 0) / shard_words) - 1).bit_length()
         cells = Cut(split_tree(quotas.select("s", "quota").distinct(), self.shards, seed), "cells").df
         start = F.coalesce(F.sum("q").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # draw j of a source goes round its blocks: place j mod (number of blocks), pass j div (number of blocks)
@@ -193,17 +193,17 @@ def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The drawn documents with all their columns and ``shard``, in shards that are shuffled locally.
 
-    A document that is drawn twice is there twice, in the shards of its two draws.
+    A document that is drawn twice is there twice, in the shards of its two draws. A partition is a shard.
     """
-    plan = Plan(docs, seed)
+    plan = Plan(docs, seed, shard_words)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     hashed = docs.select(row, "source", "doc_id", _hash(docs, seed).alias("h"))
     draws = plan.draws
-    if plan.sources * BLOCKS * MOST <= BROADCAST_ROWS:
+    if draws.count() <= BROADCAST_ROWS:
         draws = F.broadcast(draws)
     drawn = plan.sized(hashed).join(draws, ["s", "block"])
     order = F.xxhash64(F.lit(seed), "shard", "pass", "h")
-    return drawn.repartition(plan.shards, "shard").sortWithinPartitions("shard", order).select("row.*", "shard")
+    return drawn.repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("shard", order).select("row.*", "shard")
