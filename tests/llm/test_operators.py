@@ -193,6 +193,31 @@ def test_quality_fences_follow_the_language(spark):
     assert [k for k, kept in found.items() if not kept] == [2000]
 
 
+def test_quality_fences_shrink(spark):
+    """Fences move from the language's to the group's own as the group grows, by exact weights."""
+    rng = random.Random(14)
+    long_words = lambda n: " ".join("x" * rng.randrange(20, 26) for _ in range(n))
+    rows = [(k, words(rng, 100), "en", "plain", 1) for k in range(400)] + [(1000 + k, long_words(100), "en", "long", 1) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = quality.metrics(df, ["doc_id", "lang", "source"]).cache()
+    fence = {r.source: r.fence for r in quality.fences(counts).collect()}
+    values = collections.defaultdict(list)
+    for r in counts.collect():
+        values[r.source].append(r.word_chars * 1000 // r.n_words)
+
+    def high(v):
+        v = sorted(v)
+        q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        return q3 + 3 * (q3 - q1)
+
+    everything = high(values["plain"] + values["long"])  # of the language and of all alike
+    floor = quality.LEAST["word_chars"]
+    for source, n in (("plain", 400), ("long", 100)):
+        want = max((n * high(values[source]) + 200 * everything) / (n + 200), floor)
+        assert abs(fence[source].high_word_chars - want) <= 0.2 * want, source
+    assert quality.judge(counts, quality.fences(counts)).where("kept").count() >= 400
+
+
 def test_sketch_is_mergeable_and_close(spark):
     rng = random.Random(6)
     xs = [int(rng.expovariate(1) * 10 ** rng.randrange(1, 6)) for _ in range(4000)]
@@ -339,6 +364,24 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).drop("shard").columns == [c for c in odd.columns if c != "shard"] and mixing.mix(empty).count() == 0
 
 
+def test_mixing_in_many_blocks_and_shards(spark, monkeypatch):
+    """Blocks of several documents, more of them in larger sources, and shards that are partitions of their own."""
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    rng = random.Random(13)
+    df = spark.createDataFrame([(k, words(rng, rng.randrange(20, 60)), "en", "ab"[k % 8 == 0], 1) for k in range(800)], SCHEMA)
+    found = mixing.taken(df).collect()
+    by, target = collections.Counter(), {}
+    for r in found:
+        by[r.target] += r.taken
+        target[r.target] = r.source_size
+    assert len(target) == 2 and all(abs(by[t] - t) <= 0.02 * t for t in target)
+    mixed = mixing.mix(df, shard_words=2000).withColumn("at", F.spark_partition_id()).collect()
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter({r.doc_id: r.taken // r["size"] for r in found if r.taken})
+    shards = {r.shard for r in mixed}
+    assert len(shards) == 32 and len({(r.shard, r["at"]) for r in mixed}) == 32 == len({r["at"] for r in mixed})
+
+
 def test_splitting_tree_is_exact(spark):
     quota = {0: 400, 1: 30, 2: 7, 3: 0, 4: 1}
     q = spark.createDataFrame(list(quota.items()), "s int, quota long")
@@ -501,6 +544,21 @@ def test_html_extraction(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+def test_html_of_several_articles(monkeypatch):
+    """All articles that are mostly text stay, and lists of links that are marked as articles go, by their ratios."""
+    rng = random.Random(15)
+    one, two = words(rng, 120), words(rng, 60)
+    links = "".join(f"<li><a href=/{k}><b>{words(rng, 2)}</b></a></li>" for k in range(12))
+    page = f"<article><h2>One</h2><p>{one}</p><p>Short.</p></article><article><ul>{links}</ul></article><article><h2>Two</h2><p>{two}</p></article>"
+    want = f"One {one} Short. Two {two}"
+    for whole in (page, f"<main>{page}</main>", f"<article>{page}</article>"):
+        assert html.extract(PAGE % whole) == want
+    names = f'<div class="x1"><ul>{links}</ul></div><div class="x2"><h2>One</h2><p>{one}</p><p>{two}</p><p>Short.</p></div><div class="x3"><ul>{links}</ul></div>'
+    assert html.extract(names) == f"One {one} {two} Short."
+    monkeypatch.setattr(html, "ratios", lambda lines: [1.0] * len(lines))
+    assert html.extract(PAGE % page) != want and html.extract(names) != f"One {one} {two} Short."
+
+
 def test_html_of_several_parts():
     """Pages without article whose text is mostly in one section, list or table keep the rest too."""
     rng = random.Random(11)
