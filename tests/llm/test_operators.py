@@ -96,6 +96,22 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_documents(odd).count() == odd.count() and licenses.scan_documents(empty).count() == 0
 
 
+def test_every_find_of_a_license():
+    rng = random.Random(16)
+    for name, text in licenses.TEMPLATES.items():
+        found = licenses.scan(f"{words(rng, 30)} {text} {words(rng, 30)}")
+        assert found[0][:2] == (name, 1.0), (name, found)
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-3-Clause"]
+    cut = " ".join(w for k, w in enumerate(mit.split()) if k % 12)
+    for between in ("", words(rng, 5), words(rng, 900)):
+        found = licenses.scan(f"{words(rng, 20)} {mit} {between} {cut} {between} {bsd} {between} {mit}")
+        spans = sorted((a, b) for n, _, a, b in found if n == "MIT")
+        assert len(spans) == 3 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and found[0][0] == "BSD-3-Clause"
+    for n in (1, 2, 3, 7, 40):
+        found = [f for f in licenses.scan("Released under the MIT License.\n" * n) if f[0] == "MIT-notice"]
+        assert len(found) == n and all(c == 1.0 for _, c, _, _ in found), n
+
+
 def test_stretched_license_in_a_long_window():
     """A find of nearly twice its template's length, at any place among frequent words of the template."""
     license = [f"t{k}" for k in range(40)]

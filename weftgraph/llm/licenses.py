@@ -11,7 +11,8 @@ words it lacks; so windows around the places of these words miss no find. Docume
 ``need`` of a template's words can't hold it and are not aligned.
 
 Null and empty texts hold nothing. Very long texts are scanned whole. Of equally covered templates
-the longer, then the first in the list, is the best; of equal stretches the first. Repeated rows give
+the longer, then the first in the list, is the best; of a template's finds the one that matches most words, then the
+shortest, then the first. Finds of one template don't overlap. Repeated rows give
 repeated results; extra columns are ignored; an empty table gives an empty one.
 """
 
@@ -51,6 +52,47 @@ TEMPLATES = {
         option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
         without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
         License for more details.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General
+        Public License for more details.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+        Public License for more details.""",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -118,11 +160,14 @@ class Template:
         self.need = -(-len(self.words) * round(least * 1000) // 1000)
         self.distinct_need = max(1, len(self.counts) - (len(self.words) - self.need))
 
-    def find(self, text: list[str], places: dict[str, list[int]]) -> tuple[int, int, int] | None:
-        """matched words, first and last+1 word of the best find in a text."""
+    def finds(self, text: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+        """matched words, first and last+1 word of each find in a text.
+
+        Of overlapping finds the best stays; what lies between finds is searched again.
+        """
         have = sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items())
         if have < self.need:
-            return None
+            return []
         rare = sorted(self.words, key=lambda w: len(places.get(w, ())))[: len(self.words) - self.need + 1]
         near = STRETCH * len(self.words)
         windows: list[list[int]] = []
@@ -131,16 +176,27 @@ class Template:
                 windows[-1][1] = p + near
             else:
                 windows.append([p - near, p + near])
-        best = None
-        for lo, hi in windows:
-            for start, end in self._parts(max(0, lo), min(len(text), hi)):
+        out = []
+        todo = [(max(0, lo), min(len(text), hi)) for lo, hi in windows]
+        while todo:
+            lo, hi = todo.pop()
+            met = set()
+            for start, end in self._parts(lo, hi):
                 pairs = self._nearest(align(text[start:end], self.words), near)
-                if len(pairs) < self.need:
-                    continue
-                first, last = start + pairs[0][0], start + pairs[-1][0] + 1
-                if best is None or len(pairs) > best[0]:
-                    best = (len(pairs), first, last)
-        return best
+                if len(pairs) >= self.need:
+                    first, last = start + pairs[0][0], start + pairs[-1][0] + 1
+                    met.add((-len(pairs), last - first, first))
+            firsts: list[int] = []
+            lasts: list[int] = []
+            for n, long, first in sorted(met):
+                k = bisect_left(firsts, first)
+                if (k == 0 or lasts[k - 1] <= first) and (k == len(firsts) or first + long <= firsts[k]):
+                    firsts.insert(k, first)
+                    lasts.insert(k, first + long)
+                    out.append((-n, first, first + long))
+            if firsts:
+                todo += [(x, y) for x, y in zip([lo, *lasts], [*firsts, hi]) if y - x >= self.need]
+        return out
 
     @staticmethod
     def _nearest(pairs: list[tuple[int, int]], near: int) -> list[tuple[int, int]]:
@@ -190,17 +246,16 @@ def scan(text: str | None, templates: dict[str, str] = TEMPLATES) -> list[tuple[
             places.setdefault(w, []).append(i)
     found = []
     for k, t in enumerate(likely):
-        hit = t.find(listed, places)
-        if hit:
-            found.append((-hit[0] / len(t.words), -len(t.words), k, t.name, spans[hit[1]][0], spans[hit[2] - 1][1]))
-    return [(name, -c, a, b) for c, _, _, name, a, b in sorted(found)]
+        for n, first, last in t.finds(listed, places):
+            found.append((-n / len(t.words), -len(t.words), k, last - first, first, t.name, spans[first][0], spans[last - 1][1]))
+    return [(name, -c, a, b) for c, _, _, _, _, name, a, b in sorted(found)]
 
 
 _SCHEMA = "doc_id long, license string, coverage double, start_char long, end_char long, n_found long, licenses array<string>"
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, the best license with its coverage and span (null if none), n_found and all licenses of every document."""
+    """doc_id, the best license with its coverage and span (null if none), the number of finds and all licenses found, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +264,7 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Da
                 rows = []
                 for text in part.column(1).to_pylist():
                     found = scan(text, templates)
-                    rows.append((*(found[0] if found else (None,) * 4), len(found), [f[0] for f in found]))
+                    rows.append((*(found[0] if found else (None,) * 4), len(found), list(dict.fromkeys(f[0] for f in found))))
                 types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=["doc_id", "license", "coverage", "start_char", "end_char", "n_found", "licenses"]
