@@ -186,7 +186,7 @@ def test_hash_joins(spark):
     assert (one.count(), len(one.columns)) == (768, 5) and (two.count(), len(two.columns)) == (768, 8)
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     g = graph(spark, [0, 1, 0], [(0, 1), (1, 2)])
     text.write_graph(g, str(tmp_path / "text"))
     h = text.read_graph(spark, str(tmp_path / "text"))
@@ -199,6 +199,10 @@ def test_files(spark, tmp_path):
     m = engine.match(g, Pattern([0, 1], [(0, 1)]))
     assert binary.write_embeddings(m, [1, 0], str(tmp_path / "emb")) == 2
     assert rows(binary.read_embeddings(spark, str(tmp_path / "emb"))) == rows(m)
+    assert binary.write_embeddings(m, [1, 0], str(tmp_path / "one"), most=1) == 1
+    monkeypatch.setattr(binary, "MOST_ROWS", 1)
+    with pytest.raises(ValueError):
+        binary.write_embeddings(m, [1, 0], str(tmp_path / "more"))
     g.save(str(tmp_path / "pq"))
     loaded = PropertyGraph.load(spark, str(tmp_path / "pq"))
     assert rows(loaded.edges) == rows(g.edges)
@@ -217,6 +221,11 @@ def test_graph_functions(spark):
     assert again.edges.count() == 14 and again.vertices.where("label between 0 and 2").count() == 5
     r = g.relation(0, 0).toDF("p", "s")
     assert rows(ops.from_bitmaps(ops.as_bitmaps(r, "p", "s"), "p", "s")) == rows(r)
+    pairs = g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    maps = ops.as_bitmaps(g.edges, "src", "dst")
+    both = ops.intersect_bitmaps(pairs, maps.withColumnRenamed("src", "x"), maps.withColumnRenamed("src", "y"))
+    assert rows(both.selectExpr("x", "y", "bit_count(state)")) == sorted([(a, b, 2) for a, b in K4] + [(b, a, 2) for a, b in K4])
+    assert g.has_edges(g.edges.select("src", "dst"), 1).count() == 1 and g.has_edges(g.edges.select("src", "dst")).count() == 14
 
 
 def test_a_filter_reaches_the_scan(spark):

@@ -56,9 +56,10 @@ class PropertyGraph:
         e = self.edges if label is None else self.edges.where(F.col("dl") == label)
         return e.groupBy(F.col("src").alias("vid")).agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
 
-    def has_edges(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (src, dst) that are edges."""
-        return pairs.join(self.edges.select("src", "dst"), ["src", "dst"], "left_semi")
+    def has_edges(self, pairs: DataFrame, label: int | None = None) -> DataFrame:
+        """The pairs (src, dst) that are edges; to vertices of one label if it is given."""
+        e = self.edges if label is None else self.edges.where(F.col("dl") == label)
+        return pairs.join(e.select("src", "dst"), ["src", "dst"], "left_semi")
 
     def edges_between(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
         """src, dst of the edges from one candidate set (vid) to another."""

@@ -82,6 +82,14 @@ def from_bitmaps(bitmaps: DataFrame, key: str, value: str) -> DataFrame:
     return bitmaps.select(key, "base", F.explode(places).alias("i")).select(key, (F.col("base") * 64 + F.col("i")).alias(value))
 
 
+def intersect_bitmaps(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """x, y, base, state: common neighbours of each pair as bitmaps, by bitmaps (x, base, state) and (y, base, state)."""
+    left = a.select("x", "base", F.col("state").alias("__a"))
+    right = b.select("y", "base", F.col("state").alias("__b"))
+    state = F.col("__a").bitwiseAND(F.col("__b"))
+    return pairs.join(left, "x").join(right, ["y", "base"]).select("x", "y", "base", state.alias("state")).where("state != 0")
+
+
 def intersect_neighbours(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """x, y, common: sorted common neighbours of each pair, by sorted lists (x, nbrs) and (y, nbrs)."""
     left, right = a.select("x", F.col("nbrs").alias("__a")), b.select("y", F.col("nbrs").alias("__b"))

@@ -227,6 +227,20 @@ def _(g: PropertyGraph, spark):
     return ops.from_bitmaps(ops.as_bitmaps(g.relation(PART, SUPPLIER).toDF("p", "s"), "p", "s"), "p", "s")
 
 
+@query("intersect_bitmaps", "SELECT a.src AS o, count(*) AS common FROM e a JOIN e b ON b.src = a.src AND b.sl = 5 AND b.dl = 3 JOIN e c ON c.src = a.dst AND c.dst = b.dst AND c.sl = 4 AND c.dl = 3 WHERE a.sl = 5 AND a.dl = 4 GROUP BY a.src")
+def _(g: PropertyGraph, spark):
+    of_orders = ops.as_bitmaps(g.relation(ORDER, SUPPLIER).toDF("x", "s"), "x", "s")
+    of_parts = ops.as_bitmaps(g.relation(PART, SUPPLIER).toDF("y", "s"), "y", "s")
+    both = ops.intersect_bitmaps(g.relation(ORDER, PART).toDF("x", "y"), of_orders, of_parts)
+    return both.groupBy(F.col("x").alias("o")).agg(F.sum(F.bit_count("state")).cast("bigint").alias("common"))
+
+
+@query("edge_exists_label", "SELECT src, dst FROM e WHERE sl = 5 AND dl = 4 AND dst % 2 = 0")
+def _(g: PropertyGraph, spark):
+    pairs = g.relation(ORDER, PART).toDF("src", "dst").union(g.relation(ORDER, SUPPLIER).toDF("src", "dst")).where("dst % 2 = 0")
+    return g.has_edges(pairs, PART)
+
+
 # -- matching --------------------------------------------------------------------------------------
 _matches("match_path3", "path3", "iso", strategy="semi")
 _matches("match_star3", "star3", "iso", strategy="semi")
@@ -249,7 +263,7 @@ _matches("match_test_order", "cycle4", "iso", strategy="semi", order="test")
 _matches("match_input_order", "cycle4", "iso", strategy="semi", order="input", input_order=[3, 2, 1, 0])
 
 
-@query("match_limit", "SELECT CAST(1000 AS BIGINT) AS embeddings")
+@query("match_limit", f"SELECT CAST(least(1000, embeddings) AS BIGINT) AS embeddings FROM ({pattern_sql(PATTERNS['path3'], True, _COUNT)}) t")
 def _(g: PropertyGraph, spark):
     return engine.count(g, PATTERNS["path3"], limit=1000, strategy="semi")
 

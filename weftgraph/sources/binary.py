@@ -52,9 +52,14 @@ def write_csr(graph: PropertyGraph, prefix: str) -> None:
 MOST_ROWS = 1 << 20
 
 
-def write_embeddings(matches: DataFrame, order: list[int], path: str, most: int = MOST_ROWS) -> int:
-    """Up to ``most`` rows, columns in the order's sequence; how many were written."""
-    t = matches.select(*[f"u{u}" for u in order]).limit(most).toArrow()
+def write_embeddings(matches: DataFrame, order: list[int], path: str, most: int | None = None) -> int:
+    """Columns in the order's sequence; how many rows were written.
+
+    With ``most``, that many rows at most; without it, more than ``MOST_ROWS`` are an error.
+    """
+    t = matches.select(*[f"u{u}" for u in order]).limit(MOST_ROWS + 1 if most is None else most).toArrow()
+    if most is None and t.num_rows > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} embeddings; a dump holds no more unless they are cut by most=")
     rows = np.column_stack([t.column(i).to_numpy() for i in range(len(order))]) if t.num_rows else np.empty((0, len(order)))
     with open(path, "wb") as f:
         f.write(np.array([len(order)], "<u4").tobytes() + np.array([t.num_rows], "<u8").tobytes() + np.array(order, "<u4").tobytes())
