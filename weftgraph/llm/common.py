@@ -6,6 +6,7 @@ import ctypes
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,32 @@ def give_back() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the rounds of a loop: Spark's cleaner drops the broadcasts and shuffle files of rounds that are done, and
+    the driver's free memory goes back to the system.
+
+    The cleaner drops what the driver's garbage collector has found unused, which may not run for many rounds.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    # the server's class is not public, so its method is called by the interface's name
+    of = jvm.Class.forName
+    kinds = [of(k) for k in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *kinds))
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JJavaError:  # a JVM without that command
+        pass
+
+
 class Cut:
     """A table written to the shared folder: it cuts the lineage and survives lost executors."""
 

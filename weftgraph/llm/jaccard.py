@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sketch
-from weftgraph.llm.common import Cut, give_back
+from weftgraph.llm.common import Cut, give_back, settle
 
 #: Bound of the list of frequent shingles that all tasks get (8 bytes each), and of what a task tells of its own.
 FREQUENT, FREQUENT_OF_TASK, LEAST_FREQUENT = 1 << 19, 1 << 16, 8
@@ -243,6 +243,7 @@ def components(edges: DataFrame) -> Cut:
         new = Cut(small.select("e.*").where("u <> v").distinct(), "edges")
         e.drop()
         e = new
+        settle(e.spark)
 
 
 # -- the join --------------------------------------------------------------------------------------
@@ -362,6 +363,7 @@ def _class_roots(docs: DataFrame, rule: Rule, sig: DataFrame, classes: DataFrame
         for cut in (region, checked, leaders, rest, open_regions):
             cut.drop()
         region, turn = new_region, turn + 1
+        settle(region.spark)
     region.drop()
     return roots
 

@@ -36,7 +36,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Cut
+from weftgraph.llm.common import Cut, settle
 
 LEADING, SEGMENTS, CONSTANT, GENERAL_LEAST, TWO_LEAST = 3, 8, 6, 12, 8
 SHORT, SHORT_SHARE, SAME = 5, 0.005, 0.8
@@ -179,6 +179,7 @@ def recurring_lines(docs: DataFrame) -> Cut:
     out = Cut(lost, "lost")
     for cut in (lines, templates, general, texts, often, recurring, again, copies, held, general_by_unit, gone):
         cut.drop()
+    settle(out.spark)
     return out
 
 
