@@ -86,12 +86,15 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], text_of: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns with the counts of the last one, the text, instead of it; or all, and the counts of field ``text_of`` of the first."""
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            counts = list(zip(*[measure(t) for t in part.column(part.num_columns - 1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c, pa.int64()) for c in counts]], names=[*part.schema.names[:-1], *[m.split()[0] for m in METRICS.split(", ")]])
+            texts = part.column(part.num_columns - 1) if text_of is None else part.column(0).flatten()[text_of]
+            own = part.num_columns - (text_of is None)
+            counts = list(zip(*[measure(t) for t in texts.to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:own], *[pa.array(c, pa.int64()) for c in counts]], names=[*part.schema.names[:own], *[m.split()[0] for m in METRICS.split(", ")]])
 
 
 def metrics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -192,6 +195,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     fence = Cut(fences(metrics(docs, ["lang", "source"])), "fences").df
     kind = docs.schema.simpleString()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source", F.col("text").alias("__text"))
-    measured = rows.mapInArrow(_measure, f"row {kind}, lang {docs.schema['lang'].dataType.simpleString()}, source {docs.schema['source'].dataType.simpleString()}, {METRICS}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source")
+    text_of = [c.lower() for c in docs.columns].index("text")  # a text goes to Python once, within its row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _measure(batches, text_of)
+
+    measured = rows.mapInArrow(run, f"row {kind}, lang {docs.schema['lang'].dataType.simpleString()}, source {docs.schema['source'].dataType.simpleString()}, {METRICS}")
     return judge(measured, fence).where("kept").select("row.*")
