@@ -267,3 +267,59 @@ def test_registered_queries_have_sql_or_are_plans():
 
     assert set(QUERIES) - set(ORACLES) == plain and set(entry.queries()) >= set(QUERIES)
     assert F is not None
+
+
+def joined_rows(df):
+    """Runs the query; the most rows that one of its joins gave."""
+    df.collect()
+    found = [0]
+
+    def walk(node):
+        name = node.nodeName()
+        if "Join" in name:
+            found.append(node.metrics().get("numOutputRows").get().value())
+        for inner in [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else []:
+            walk(inner)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
+
+
+def test_a_stored_graph_has_each_edge_once(spark):
+    from weftgraph.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    g = tables.stored_graph(spark, folder)
+    path = tables._stored[spark.sparkContext.applicationId, folder]
+    stored = spark.read.parquet(f"{path}/edges")
+    assert stored.count() * 2 == g.edges.count() == g.edges.distinct().count()
+    assert rows(g.edges) == rows(tables.star_graph(spark, folder).edges)
+    assert rows(g.relation(tables.PART, tables.ORDER)) == sorted((b, a) for a, b in rows(g.relation(tables.ORDER, tables.PART)))
+
+
+def test_squares_are_joined_at_the_side_with_fewer_wedges(spark):
+    # 40 orders with a part that all have and one that few have; the other way round too
+    labels = [4] * 41 + [5] * 40
+    edges = [(0, 41 + i) for i in range(40)] + [(1 + i // 2, 41 + i) for i in range(40)]
+    for names, p in ((labels, Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)])), ([9 - x for x in labels], Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)]))):
+        g = graph(spark, names, edges)
+        found = engine.match(g, p, strategy="semi")
+        assert joined_rows(found) <= 200 and len(set(rows(found))) == found.count() == 80
+        assert all(a != c and b != d for a, b, c, d in rows(found))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_squares_agree_with_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = [e for e in itertools.combinations(range(9), 2) if r.random() < 0.6]
+    for kinds, shape in (([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (0, 3)]), ([0] * 4, [(0, 2), (1, 2), (1, 3), (0, 3)]), ([1, 1, 0, 0], [(0, 2), (0, 3), (1, 2), (1, 3)])):
+        labels = [r.choice(kinds) for _ in range(9)]
+        g, p = graph(spark, labels, edges), Pattern(kinds, shape)
+        for mode in ("iso", "hom"):
+            want = sorted(brute(labels, edges, p, mode == "iso"))
+            assert rows(engine.match(g, p, mode, strategy="semi")) == want
+            assert engine.count(g, p, mode, strategy="semi").first()[0] == len(want)
