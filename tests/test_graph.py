@@ -323,3 +323,17 @@ def test_squares_agree_with_brute_force(spark, seed):
             want = sorted(brute(labels, edges, p, mode == "iso"))
             assert rows(engine.match(g, p, mode, strategy="semi")) == want
             assert engine.count(g, p, mode, strategy="semi").first()[0] == len(want)
+
+
+def one_nation(spark, n):
+    """Customers, suppliers and orders of one nation, each order with a customer and a supplier of its own, and the cycle of the four."""
+    labels = [1] + [2] * n + [3] * n + [5] * n
+    edges = [(0, i) for i in range(1, 2 * n + 1)] + [(1 + i, 1 + 2 * n + i) for i in range(n)] + [(1 + n + i, 1 + 2 * n + i) for i in range(n)]
+    return graph(spark, labels, edges), Pattern([2, 5, 3, 1], [(0, 1), (1, 2), (2, 3), (0, 3)])
+
+
+def test_counts_by_each_order_of_the_spectrum_take_the_least_fan_out(spark):
+    g, p = one_nation(spark, 30)
+    for order in itertools.islice(spectrum(p), 3):
+        found = engine.count(g, p, strategy="semi", order="input", input_order=order)
+        assert joined_rows(found) <= 120 and rows(found) == [(30,)]
