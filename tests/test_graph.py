@@ -337,3 +337,10 @@ def test_counts_by_each_order_of_the_spectrum_take_the_least_fan_out(spark):
     for order in itertools.islice(spectrum(p), 3):
         found = engine.count(g, p, strategy="semi", order="input", input_order=order)
         assert joined_rows(found) <= 120 and rows(found) == [(30,)]
+
+
+def test_squares_are_counted_without_listing_the_pairs_of_a_hub(spark):
+    edges = [(0, 41 + i) for i in range(40)] + [(1 + i // 2, 41 + i) for i in range(40)]
+    g, p = graph(spark, [4] * 41 + [5] * 40, edges), Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)])
+    found = engine.count(g, p, "hom", strategy="semi")
+    assert joined_rows(found) <= 200 and rows(found) == [(1600 + 20 * 4 + 2 * 20 * 4,)]
