@@ -344,3 +344,10 @@ def test_squares_are_counted_without_listing_the_pairs_of_a_hub(spark):
     g, p = graph(spark, [4] * 41 + [5] * 40, edges), Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)])
     found = engine.count(g, p, "hom", strategy="semi")
     assert joined_rows(found) <= 200 and rows(found) == [(1600 + 20 * 4 + 2 * 20 * 4,)]
+
+
+def test_a_given_order_is_joined_by_the_least_fan_out(spark):
+    g, p = one_nation(spark, 30)
+    found = engine.match(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0])
+    # the graph's own joins give 120 rows, customers by the nation of an order 900
+    assert joined_rows(found) <= 120 and rows(found) == [(1 + i, 61 + i, 31 + i, 0) for i in range(30)]
