@@ -351,3 +351,18 @@ def test_a_given_order_is_joined_by_the_least_fan_out(spark):
     found = engine.match(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0])
     # the graph's own joins give 120 rows, customers by the nation of an order 900
     assert joined_rows(found) <= 120 and rows(found) == [(1 + i, 61 + i, 31 + i, 0) for i in range(30)]
+
+
+def test_a_reduced_cycle_is_ordered_by_its_work_and_reduced_step_by_step(spark, tmp_path, monkeypatch):
+    made, p = one_nation(spark, 30)
+    made.save(str(tmp_path / "g"))
+    g = PropertyGraph.load(spark, str(tmp_path / "g"))
+    joins, write = [], engine.written
+
+    def seen(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name)
+
+    monkeypatch.setattr(engine, "written", seen)
+    found = engine.match(g, p, strategy="semi", preprocess=True)
+    assert max(joins) <= 4 and joined_rows(found) <= 60 and len(rows(found)) == 30
