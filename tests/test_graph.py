@@ -366,3 +366,37 @@ def test_a_reduced_cycle_is_ordered_by_its_work_and_reduced_step_by_step(spark,
     monkeypatch.setattr(engine, "written", seen)
     found = engine.match(g, p, strategy="semi", preprocess=True)
     assert max(joins) <= 4 and joined_rows(found) <= 60 and len(rows(found)) == 30
+
+
+def test_a_query_stores_the_relations_that_it_reads_only(spark, tmp_path):
+    from weftgraph.queries import QUERIES
+    from weftgraph.sources import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    (tmp_path / "t").symlink_to("/root/testdata/sf0.001")
+    folder = str(tmp_path / "t")
+    found = rows(QUERIES["match_input_order"](spark, folder))
+    path = tables._stored[spark.sparkContext.applicationId, folder]
+    assert found and set(rows(spark.read.parquet(f"{path}/edges").select("sl", "dl").distinct())) == {(5, 2), (5, 3), (3, 1), (2, 1)}
+    assert not os.path.exists(f"{path.removeprefix('file://')}/vertices")
+    # the rest comes when it is read, and nothing twice
+    assert QUERIES["match_unknown_label"](spark, folder).count() == 0
+    assert rows(QUERIES["graph_edges"](spark, folder)) == rows(tables.star_graph(spark, folder).edges) and tables._stored[spark.sparkContext.applicationId, folder] == path
+    assert rows(QUERIES["graph_vertices"](spark, folder)) == rows(tables.star_graph(spark, folder).vertices)
+
+
+def test_a_long_prefix_is_joined_once_with_both_relations_that_close_a_cycle(spark, monkeypatch):
+    from weftgraph.plans import extend
+
+    # two nations, customers 2 to 5, suppliers 6 to 11, orders 12 to 19 with a customer and four suppliers each
+    labels = [1] * 2 + [2] * 4 + [3] * 6 + [5] * 8
+    edges = [(i % 2, i) for i in range(2, 12)] + [(2 + i % 4, 12 + i) for i in range(8)] + [(6 + (i + j) % 6, 12 + i) for i in range(8) for j in range(4)]
+    g, p = graph(spark, labels, edges), Pattern([2, 5, 3, 1], [(0, 1), (1, 2), (2, 3), (0, 3)])
+    want = sorted(brute(labels, edges, p, True))
+    for few in (extend.FEW_ROWS, 0):
+        monkeypatch.setattr(extend, "FEW_ROWS", few)
+        found = engine.match(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0])
+        assert rows(found) == want and engine.count(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0]).first()[0] == len(want) > 0
+    # customers of orders and their nations, 8 rows, are joined with the 32 of nation, supplier and order
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from weftgraph.operators.relations import hash_join
 from weftgraph.pattern import Pattern
 from weftgraph.plans.extend import extend, injective
-from weftgraph.plans.orders import check
+from weftgraph.plans.orders import Sizes, check
 from weftgraph.plans.reduce import Relations
 
 HASH_JOIN, WCOJ = 0, 1
@@ -107,7 +107,7 @@ class Plan:
     def describe(self) -> str:
         return "\n".join(f"{n.id}: {_NAME[n.kind]} {n.vertices}" + (f" of {n.left} and {n.right}" if n.kind == HASH_JOIN else f" on {n.child}" * (n.child >= 0)) for n in self.nodes)
 
-    def frame(self, pattern: Pattern, relations: Relations, injection: bool, how: str = "semi", fan: dict | None = None) -> DataFrame:
+    def frame(self, pattern: Pattern, relations: Relations, injection: bool, how: str = "semi", sizes: Sizes | None = None) -> DataFrame:
         """The plan as one DataFrame with a column for each pattern vertex.
 
         Edges between the sides of a hash join that neither side has are checked after it.
@@ -115,7 +115,7 @@ class Plan:
         done: dict[int, tuple[DataFrame, list[int]]] = {}
         for n in self.nodes:
             if n.kind == WCOJ:
-                done[n.id] = self._extended(n, done, pattern, relations, injection, how, fan), n.vertices
+                done[n.id] = self._extended(n, done, pattern, relations, injection, how, sizes), n.vertices
             else:
                 done[n.id] = self._joined(n, done, pattern, relations, injection), n.vertices
         df, vertices = done[self.nodes[-1].id]
@@ -124,11 +124,11 @@ class Plan:
             raise ValueError("the last operator doesn't hold all vertices of the pattern")
         return df.select(*[f"u{u}" for u in range(pattern.n)])
 
-    def _extended(self, n: Node, done, pattern, relations, injection, how, fan) -> DataFrame:
+    def _extended(self, n: Node, done, pattern, relations, injection, how, sizes) -> DataFrame:
         prefix = None
         if n.child >= 0:
             prefix = done[n.child][0].select(*[f"u{u}" for u in n.child_vertices])
-        return extend(pattern, relations, n.vertices, injection, how, fan, prefix)
+        return extend(pattern, relations, n.vertices, injection, how, sizes, prefix)
 
     def _joined(self, n: Node, done, pattern, relations, injection) -> DataFrame:
         left, right = done[n.left][0], done[n.right][0]
