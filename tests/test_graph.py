@@ -386,6 +386,20 @@ def test_a_query_stores_the_relations_that_it_reads_only(spark, tmp_path):
     assert rows(QUERIES["graph_vertices"](spark, folder)) == rows(tables.star_graph(spark, folder).vertices)
 
 
+def test_squares_are_counted_from_the_only_relation_that_is_stored(spark, tmp_path):
+    from weftgraph.queries import QUERIES
+    from weftgraph.sources import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    (tmp_path / "t").symlink_to("/root/testdata/sf0.001")
+    folder = str(tmp_path / "t")
+    found = rows(QUERIES["match_butterfly_hom"](spark, folder))
+    path = tables._stored[spark.sparkContext.applicationId, folder]
+    assert rows(spark.read.parquet(f"{path}/edges").select("sl", "dl").distinct()) == [(5, 4)]
+    assert found == rows(engine.count(tables.star_graph(spark, folder), Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)]), "hom", strategy="semi", order="input", input_order=[0, 1, 2, 3]))
+
+
 def test_a_long_prefix_is_joined_once_with_both_relations_that_close_a_cycle(spark, monkeypatch):
     from weftgraph.plans import extend
 
