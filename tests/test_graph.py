@@ -400,6 +400,22 @@ def test_squares_are_counted_from_the_only_relation_that_is_stored(spark, tmp_pa
     assert found == rows(engine.count(tables.star_graph(spark, folder), Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)]), "hom", strategy="semi", order="input", input_order=[0, 1, 2, 3]))
 
 
+def test_the_orders_of_the_spectrum_are_counted_one_by_one(spark, tmp_path):
+    from weftgraph.queries import QUERIES
+    from weftgraph.sources import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    (tmp_path / "t").symlink_to("/root/testdata/sf0.001")
+    folder = str(tmp_path / "t")
+    found = QUERIES["match_spectrum"](spark, folder)
+    path = tables._stored[spark.sparkContext.applicationId, folder]
+    assert set(rows(spark.read.parquet(f"{path}/edges").select("sl", "dl").distinct())) == {(5, 2), (5, 3), (3, 1), (2, 1)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = len(rows(engine.match(tables.star_graph(spark, folder), Pattern([2, 5, 3, 1], [(0, 1), (1, 2), (2, 3), (0, 3)]), strategy="local")))
+    assert rows(found) == [(k, want) for k in range(3)] and want > 0
+
+
 def test_a_long_prefix_is_joined_once_with_both_relations_that_close_a_cycle(spark, monkeypatch):
     from weftgraph.plans import extend
 
@@ -414,3 +430,20 @@ def test_a_long_prefix_is_joined_once_with_both_relations_that_close_a_cycle(spa
         assert rows(found) == want and engine.count(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0]).first()[0] == len(want) > 0
     # customers of orders and their nations, 8 rows, are joined with the 32 of nation, supplier and order
     assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_a_semi_join_drops_are_thinned_by_bits_first(spark, monkeypatch):
+    from weftgraph.plans import extend
+
+    # two nations, customers 2 to 13, suppliers 14 to 23, orders 24 to 37 with a customer and four suppliers each
+    labels = [1] * 2 + [2] * 12 + [3] * 10 + [5] * 14
+    edges = [(i % 2, i) for i in range(2, 24)] + [(2 + i % 12, 24 + i) for i in range(14)] + [(14 + (i + j) % 10, 24 + i) for i in range(14) for j in range(4)]
+    g, p = graph(spark, labels, edges), Pattern([2, 5, 3, 1], [(0, 1), (1, 2), (2, 3), (0, 3)])
+    # suppliers' nations are broadcast, the 56 rows with them are tested by bits with the nations of 12 customers
+    monkeypatch.setattr(extend, "FEW_ROWS", 10)
+    found = engine.match(g, p, strategy="semi", order="input", input_order=[0, 1, 2, 3])
+    assert rows(found) == sorted(brute(labels, edges, p, True)) and "getbit" in found._jdf.queryExecution().optimizedPlan().toString()
+    r = spark.range(0, 5000, 5).selectExpr("id u0", "id % 7 u3")
+    monkeypatch.setattr(extend, "FEW_ROWS", 1000)
+    left = spark.range(5000).selectExpr("id u0", "id % 7 u3", "id % 3 u1")
+    assert extend.thinned(left, r).join(r, ["u0", "u3"], "left_semi").count() == 1000 and extend.thinned(left, r).count() < 1300
