@@ -346,6 +346,36 @@ def test_squares_are_counted_without_listing_the_pairs_of_a_hub(spark):
     assert joined_rows(found) <= 200 and rows(found) == [(1600 + 20 * 4 + 2 * 20 * 4,)]
 
 
+def test_squares_are_counted_in_rounds_of_half_as_many_wedges_as_rows(spark, monkeypatch):
+    from weftgraph.plans import extend
+    from weftgraph.store import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    # orders 0 to 299 with three to twelve places of the parts 300 to 599, the first one with 30 more
+    edges = [(i, 300 + (7 * (i % 90) + j * j) % 300) for i in range(300) for j in range(3 + i % 10)] + [(0, 300 + j) for j in range(30)]
+    labels, made, before = [5] * 300 + [4] * 300, [], set(os.listdir(folder))
+    g, p = graph(spark, labels, edges), Pattern([5, 4, 5, 4], [(0, 1), (1, 2), (2, 3), (0, 3)])
+    rows_there, near = len(set(edges)), [{b for a, b in edges if a == i} for i in range(300)]
+    pairs = extend._pairs
+
+    def seen(*a):
+        made.append(rows(out := pairs(*a)))
+        return out
+
+    monkeypatch.setattr(extend, "ROUND", 10)
+    monkeypatch.setattr(extend, "_pairs", seen)
+    for mode in ("hom", "iso"):
+        made.clear()
+        want = sum(len(a & b) ** 2 if mode == "hom" else len(a & b) * (len(a & b) - 1) for i, a in enumerate(near) for k, b in enumerate(near) if mode == "hom" or i != k)
+        assert rows(engine.count(g, p, mode, strategy="semi")) == [(want,)] and want > 0
+        # no round has much more than its share, and together they have each wedge of one side once
+        wedges = sorted(itertools.chain(*made))
+        by_part = [{a for a, b in edges if b == 300 + j} for j in range(300)]
+        assert wedges in [sorted(w for s in side for w in itertools.combinations(sorted(s), 2)) for side in (near, by_part)]
+        assert len(made) >= 4 and max(map(len, made)) <= rows_there < len(wedges)
+    assert set(os.listdir(folder)) == before
+
+
 def test_a_given_order_is_joined_by_the_least_fan_out(spark):
     g, p = one_nation(spark, 30)
     found = engine.match(g, p, strategy="semi", order="input", input_order=[3, 2, 1, 0])
